@@ -75,31 +75,29 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
+def _attempt_columns() -> dict[str, Column]:
     n, u, k = F.col("event_id"), F.col("user_id"), F.col("k")
     failed = F.col("event_type") == "error"
-    return e.select(
-        token("evt", n).alias("event_id"),
-        n.alias("event_no"),
-        F.col("ms").alias("occurred_at_ms"),
-        token("mrc", u % 12).alias("merchant_id"),
-        token("chk", int_div(n, F.lit(3))).alias("checkout_id"),
-        F.when(n % 20 != 0, token("cus", u)).alias("customer_token"),
-        F.when(n % 33 != 0, token("dev", k % 40)).alias("device_token"),
-        F.when(n % 50 != 0, token("net", u % 25)).alias("network_token"),
-        token("ses", u * 4 + k % 4).alias("session_token"),
-        token("pmt", (n * 7) % 500).alias("payment_instrument_token"),
-        (F.floor(F.col("value") * 100 + 0.5) + 1).cast("long").alias("amount_subunits"),
-        F.lit("INR").alias("currency"),
-        F.when(failed, "failed").otherwise("authorized").alias("outcome"),
-        F.when(failed, _pick(FAILURE_CATEGORIES, k % 5)).alias("failure_category"),
-        _pick(CHANNELS, n % 3).alias("channel"),
-    )
-
-
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
+    return {
+        "event_id": token("evt", n),
+        "event_no": n,
+        "occurred_at_ms": F.col("ms"),
+        "merchant_id": token("mrc", u % 12),
+        "checkout_id": token("chk", int_div(n, F.lit(3))),
+        "customer_token": F.when(n % 20 != 0, token("cus", u)),
+        "device_token": F.when(n % 33 != 0, token("dev", k % 40)),
+        "network_token": F.when(n % 50 != 0, token("net", u % 25)),
+        "session_token": token("ses", u * 4 + k % 4),
+        "payment_instrument_token": token("pmt", (n * 7) % 500),
+        "amount_subunits": (F.floor(F.col("value") * 100 + 0.5) + 1).cast("long"),
+        "currency": F.lit("INR"),
+        "outcome": F.when(failed, "failed").otherwise("authorized"),
+        "failure_category": F.when(failed, _pick(FAILURE_CATEGORIES, k % 5)),
+        "channel": _pick(CHANNELS, n % 3),
+    }
+
+
+def _label_columns() -> dict[str, Column]:
     n, k, ms = F.col("event_id"), F.col("k"), F.col("ms")
     attack = (F.col("event_type") == "error") & (k >= 60)
     scenario = F.when(attack, ATTACK_SCENARIO)
@@ -110,56 +108,63 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(ms < CALIBRATION_END_MS, "calibration")
         .otherwise("test")
     )
-    return e.select(
-        token("evt", n).alias("event_id"),
-        ms.alias("occurred_at_ms"),
-        split.alias("split"),
-        attack.alias("is_attack"),
-        F.when(attack, token("cmp", k % 10)).alias("campaign_id"),
-        scenario.alias("scenario_type"),
-        F.when(attack, token("scn", 1_000_000 + k % 10))
-        .when(F.col("event_type") == "purchase", token("scn", int_div(n, F.lit(4))))
-        .alias("scenario_instance_id"),
-        F.when(
+    return {
+        "split": split,
+        "is_attack": attack,
+        "campaign_id": F.when(attack, token("cmp", k % 10)),
+        "scenario_type": scenario,
+        "scenario_instance_id": F.when(attack, token("scn", 1_000_000 + k % 10)).when(
+            F.col("event_type") == "purchase", token("scn", int_div(n, F.lit(4)))
+        ),
+        "campaign_profile": F.when(
             attack, F.when(split == "test", "entity_reuse_shift").otherwise("baseline_reuse")
-        ).alias("campaign_profile"),
-    )
+        ),
+    }
+
+
+def _score_columns() -> dict[str, Column]:
+    attack = ((F.col("event_type") == "error") & (F.col("k") >= 60)).cast("int")
+    value = F.col("value")
+    p = F.least(F.lit(100.0), F.floor(100 * value / (value + 50)) + 30 * attack) / 100.0
+    return {"y": attack, "p": p}
+
+
+def _project(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.select(*[c.alias(name) for name, c in columns.items()])
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(_events(spark, sf_dir), _attempt_columns())
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident = {"event_id": token("evt", F.col("event_id")), "occurred_at_ms": F.col("ms")}
+    return _project(_events(spark, sf_dir), {**ident, **_label_columns()})
 
 
 def labelled_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attempts(spark, sf_dir).join(
-        labels(spark, sf_dir).drop("occurred_at_ms"), "event_id"
-    )
+    return _project(_events(spark, sf_dir), {**_attempt_columns(), **_label_columns()})
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    attack = ((F.col("event_type") == "error") & (F.col("k") >= 60)).cast("int")
-    value = F.col("value")
-    p = F.least(F.lit(100.0), F.floor(100 * value / (value + 50)) + 30 * attack) / 100.0
-    return (
-        e.select(token("evt", F.col("event_id")).alias("event_id"), p.alias("p"), attack.alias("y"))
-        .join(labels(spark, sf_dir), "event_id")
-        .select(
-            "event_id", "occurred_at_ms", "y", "p", "split", "scenario_type", "campaign_id"
-        )
-    )
+    columns = {
+        "event_id": token("evt", F.col("event_id")),
+        "occurred_at_ms": F.col("ms"),
+        **_score_columns(),
+        **{n: c for n, c in _label_columns().items() if n in ("split", "scenario_type", "campaign_id")},
+    }
+    return _project(_events(spark, sf_dir), columns)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One decision per attempt, with every way a decision can end up under review."""
-    a = attempts(spark, sf_dir)
-    e = _events(spark, sf_dir)
-    attack = ((F.col("event_type") == "error") & (F.col("k") >= 60)).cast("int")
-    value = F.col("value")
-    p = F.least(F.lit(100.0), F.floor(100 * value / (value + 50)) + 30 * attack) / 100.0
-    scores = e.select(token("evt", F.col("event_id")).alias("event_id"), p.alias("p"))
+    rows = _project(_events(spark, sf_dir), {**_attempt_columns(), **_score_columns()})
     n = F.col("event_no")
     pending = n % 71 == 0
     known = ~pending & (n % 89 != 0)
     deny = F.col("p") >= DENY_THRESHOLD
     order_failed = n % 53 == 0
-    return a.join(scores, "event_id").select(
+    return rows.select(
         token("dec", n).alias("id"),
         "event_id",
         "event_no",
