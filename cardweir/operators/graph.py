@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardweir.operators.joins import join_on_entity
 from cardweir.operators.ledger import GRAPH_KINDS, entity_rows, since_window
 from cardweir.session import materialise
 
@@ -26,10 +27,8 @@ def hubs(decisions: DataFrame) -> DataFrame:
 
 def edges(decisions: DataFrame) -> DataFrame:
     """event -> hub for every decision that carries a shared token."""
-    h = hubs(decisions).select("kind", "token", "hub_id")
     return (
-        entity_rows(decisions, GRAPH_KINDS)
-        .join(h, ["kind", "token"])
+        join_on_entity(entity_rows(decisions, GRAPH_KINDS), hubs(decisions), ["kind", "token"], "degree")
         .select(
             F.concat(F.lit("event:"), F.col("id")).alias("source"),
             F.col("hub_id").alias("target"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import int_div
@@ -113,5 +112,25 @@ def assign_bin(df: DataFrame, bins: DataFrame, p: str = "p") -> DataFrame:
     )
 
 
-def last_row_flag(df: DataFrame, partition: list[str], *order) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
+def join_on_entity(
+    rows: DataFrame,
+    entities: DataFrame,
+    keys: list[str],
+    weight: str,
+    share: float = 1e-4,
+    minimum_rows: int = 1_000_000,
+) -> DataFrame:
+    """Inner join of many rows to one row per entity, safe when one entity holds most rows.
+
+    Entities above ``share`` of all rows, of which there are at most ``1 / share``, are broadcast, so
+    their rows stay where they are. All others meet in a shuffle of groups no larger than the share.
+    ``weight`` is each entity's row count. Below ``minimum_rows`` nothing is hot, and the adaptive
+    planner drops the empty half.
+    """
+    total = entities.agg(F.sum(weight).alias("n")).scalar()
+    least = F.greatest(total * F.lit(share), F.lit(float(minimum_rows)))
+    hot = entities.filter(F.col(weight) > least)
+    cold = entities.filter(F.col(weight) <= least)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return near.unionByName(far)

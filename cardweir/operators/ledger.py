@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import anchor_time, audit_decimal, clamp, int_div, plain_decimal_text
+from cardweir.operators.joins import join_on_entity
 
 MAXIMUM_PAGE = 500
 MAXIMUM_ATTEMPTS = 3
@@ -126,23 +127,23 @@ def entity_context(df: DataFrame, exclude_self: bool) -> DataFrame:
 
     With ``exclude_self`` the decision itself is left out by id: counts drop by one and, where it
     was the earliest or latest, the next one takes its place. Tokens are aggregated before they meet
-    the decisions again, and the decisions are joined to one row per token, so a token that holds a
-    third of the ledger costs no more per row than any other (AQE splits its join partition).
+    the decisions again; a token that holds a third of the ledger is joined by broadcast.
     """
     rows = entity_rows(df)
     totals = entity_totals(rows)
     if exclude_self:
         # The runner-up at each end: the same minimum with the extreme row removed.
-        rest = rows.join(
-            totals.select("kind", "token", F.col("low.id").alias("low_id"), F.col("high.id").alias("high_id")),
-            ["kind", "token"],
+        rest = join_on_entity(
+            rows,
+            totals.select("kind", "token", "n", F.col("low.id").alias("low_id"), F.col("high.id").alias("high_id")),
+            ["kind", "token"], "n",
         )
         second = rest.groupBy("kind", "token").agg(
             F.expr("min(if(id = low_id, null, anchor_ms))").alias("low2"),
             F.expr("max(if(id = high_id, null, anchor_ms))").alias("high2"),
         )
         totals = totals.join(second, ["kind", "token"])
-    joined = rows.join(totals, ["kind", "token"])
+    joined = join_on_entity(rows, totals, ["kind", "token"], "n")
     if exclude_self:
         joined = joined.selectExpr(
             "id", "kind", "token",

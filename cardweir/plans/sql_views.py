@@ -153,7 +153,7 @@ SELECT n AS call_no,
   || ',"method":"card","captured":'
   || CASE WHEN name = 'payment.captured' THEN 'true' ELSE 'false' END
   || ',"email":"a@b.example","card":{{"last4":"1111"}},"error_code":'
-  || CASE WHEN name = 'payment.failed' THEN '"BAD REQUEST"'
+  || CASE WHEN name = 'payment.failed' AND n % 2 = 0 THEN '"BAD REQUEST"'
      WHEN n % 3 = 0 THEN '"GATEWAY_ERROR"' ELSE 'null' END
   || ',"created_at":' || CAST(seconds - 60 AS VARCHAR) || '}}}}}}}}' AS body,
   {START_MS} + n AS received_at_ms

@@ -282,7 +282,7 @@ def webhooks(spark: SparkSession, sf_dir: str, key: bytes = WEBHOOK_KEY) -> Data
         F.when(n % 5 == 0, "null").otherwise(F.concat(F.lit('"ord_'), text(n), F.lit('"'))),
         F.lit(',"method":"card","captured":'), F.when(name == "payment.captured", "true").otherwise("false"),
         F.lit(',"email":"a@b.example","card":{"last4":"1111"},"error_code":'),
-        F.when(name == "payment.failed", '"BAD REQUEST"')
+        F.when((name == "payment.failed") & (n % 2 == 0), '"BAD REQUEST"')
         .when(n % 3 == 0, '"GATEWAY_ERROR"').otherwise("null"),
         F.lit(',"created_at":'), text(seconds - 60),
         F.lit("}}}}"),
