@@ -6,6 +6,8 @@ quotes is not taken for a number and an absent key is told apart from a null one
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,6 @@ CURRENCY = "^[A-Z]{3}$"
 MAXIMUM_EPOCH = 4_102_444_800
 MAXIMUM_BODY_BYTES = 65_536
 REDACTED = "[REDACTED]"
-EVENT_FIELDS = ("entity", "event", "created_at", "account_id")
-PAYMENT_FIELDS = (
-    "id", "entity", "amount", "amount_refunded", "currency", "status", "order_id", "invoice_id",
-    "international", "method", "captured", "created_at", "refund_status", "error_code",
-    "error_source", "error_step", "error_reason",
-)
-ORDER_FIELDS = (
-    "id", "entity", "amount", "amount_paid", "amount_due", "currency", "status", "attempts", "created_at",
-)
 PAYMENT_REDACTIONS = (
     "acquirer_data", "card", "contact", "description", "email", "ip", "ip_address", "notes", "phone",
     "token_id", "vpa",
@@ -40,83 +33,124 @@ def processing_result(name: str) -> Column:
     return F.when(F.col(name).isin(*SUPPORTED_EVENTS), "processed").otherwise("ignored")
 
 
-def _at(path: str) -> str:
-    return f"try_variant_get(v, '{path}', 'variant')"
-
+@dataclass(frozen=True)
+class Rule:
+    """What a value at a path must be. ``limit`` is a length for texts, a bound for counts."""
 
-def _kind(path: str) -> str:
-    """Type name at the path; null when the key is absent, VOID for a JSON null."""
-    return f"schema_of_variant({_at(path)})"
+    name: str
+    want: str  # identifier, token, loose_token, currency, count, flag, object or =constant
+    limit: int = 2**62
+    optional: bool = False  # absent or null is fine
 
 
-def _text(path: str) -> str:
-    return f"try_variant_get(v, '{path}', 'string')"
-
-
-def _number(path: str) -> str:
-    return f"try_variant_get(v, '{path}', 'bigint')"
-
+# What the provider's documents contain.
+ENVELOPE_RULES = (
+    Rule("entity", "=event"),
+    Rule("event", "token", 100),
+    Rule("created_at", "count", MAXIMUM_EPOCH),
+    Rule("payload", "object"),
+    Rule("account_id", "identifier", 255, optional=True),
+)
+PAYMENT_RULES = (
+    Rule("id", "identifier", 255),
+    Rule("entity", "=payment"),
+    Rule("order_id", "identifier", 255, optional=True),
+    Rule("status", "token", 50),
+    Rule("amount", "count"),
+    Rule("currency", "currency", 3),
+    Rule("method", "token", 50, optional=True),
+    Rule("created_at", "count", MAXIMUM_EPOCH),
+    *[Rule(c, "loose_token", 100, optional=True) for c in ("error_code", "error_source", "error_step", "error_reason")],
+)
+EVENT_ALLOWLIST = (
+    Rule("entity", "=event"),
+    Rule("event", "token", 100),
+    Rule("created_at", "count", MAXIMUM_EPOCH),
+    Rule("account_id", "identifier", 255),
+)
+PAYMENT_ALLOWLIST = (
+    Rule("id", "identifier", 255),
+    Rule("entity", "=payment"),
+    Rule("amount", "count"),
+    Rule("amount_refunded", "count"),
+    Rule("currency", "currency", 3),
+    Rule("status", "token", 50),
+    Rule("order_id", "identifier", 255, optional=True),
+    Rule("invoice_id", "identifier", 255, optional=True),
+    Rule("international", "flag"),
+    Rule("method", "token", 50, optional=True),
+    Rule("captured", "flag"),
+    Rule("created_at", "count", MAXIMUM_EPOCH),
+    Rule("refund_status", "token", 50, optional=True),
+    *[Rule(c, "token", 100, optional=True) for c in ("error_code", "error_source", "error_step", "error_reason")],
+)
+ORDER_ALLOWLIST = (
+    Rule("id", "identifier", 255),
+    Rule("entity", "=order"),
+    *[Rule(c, "count") for c in ("amount", "amount_paid", "amount_due")],
+    Rule("currency", "currency", 3),
+    Rule("status", "token", 50),
+    Rule("attempts", "count"),
+    Rule("created_at", "count", MAXIMUM_EPOCH),
+)
 
-def is_text(path: str, pattern: str, longest: int, shortest: int = 1) -> str:
-    return (
-        f"coalesce({_kind(path)} = 'STRING' and length({_text(path)}) between {shortest} and {longest}"
-        f" and {_text(path)} rlike '{pattern}', false)"
-    )
+# Checks one entry ``f`` of a rule array; patterns stay literals, so each compiles once.
+VALID = f"""case
+  when f.x is null or schema_of_variant(f.x) = 'VOID' then f.optional
+  when f.want = 'count' then schema_of_variant(f.x) = 'BIGINT'
+    and coalesce(try_variant_get(f.x, '$', 'bigint') between 0 and f.limit, false)
+  when f.want = 'flag' then schema_of_variant(f.x) = 'BOOLEAN'
+  when f.want = 'object' then schema_of_variant(f.x) like 'OBJECT%'
+  when schema_of_variant(f.x) <> 'STRING' then false
+  when f.want like '=%' then f.s = substr(f.want, 2)
+  when length(f.s) > f.limit or (f.s = '' and f.want <> 'loose_token') then false
+  when f.want = 'identifier' then f.s rlike '{IDENTIFIER}'
+  when f.want = 'currency' then f.s rlike '{CURRENCY}'
+  else f.s rlike '{OPTIONAL_TOKEN}' end"""
 
 
-def is_count(path: str, largest: int | None = None) -> str:
-    upper = f" and {_number(path)} <= {largest}" if largest is not None else ""
-    return f"coalesce({_kind(path)} = 'BIGINT' and {_number(path)} >= 0{upper}, false)"
+def _at(path: str) -> str:
+    return f"try_variant_get(v, '{path}', 'variant')"
 
 
-def is_exactly(path: str, value: str) -> str:
-    return f"coalesce({_kind(path)} = 'STRING' and {_text(path)} = '{value}', false)"
+def _text(path: str) -> str:
+    return f"try_variant_get(v, '{path}', 'string')"
 
 
-def is_flag(path: str) -> str:
-    return f"coalesce({_kind(path)} = 'BOOLEAN', false)"
+def _number(path: str) -> str:
+    return f"try_variant_get(v, '{path}', 'bigint')"
 
 
-def _or_null(path: str, rule: str) -> str:
-    return f"({_kind(path)} is null or {_kind(path)} = 'VOID' or {rule})"
+def _is_object(path: str) -> str:
+    return f"coalesce(schema_of_variant({_at(path)}) like 'OBJECT%', false)"
 
 
-def is_object(path: str) -> str:
-    return f"coalesce({_kind(path)} like 'OBJECT%', false)"
+def _entries(rules: tuple[Rule, ...], at: str) -> str:
+    rows = ", ".join(
+        f"named_struct('name', '{r.name}', 'want', '{r.want}', 'limit', {r.limit}L,"
+        f" 'optional', {str(r.optional).lower()}, 'x', {_at(f'{at}.{r.name}')}, 's', {_text(f'{at}.{r.name}')})"
+        for r in rules
+    )
+    return f"array({rows})"
 
 
 def envelope_valid() -> str:
-    contains = (
-        f"({_kind('$.contains')} is null or coalesce({_kind('$.contains')} in ('ARRAY<STRING>', 'ARRAY<VOID>')"
-        " and size(try_variant_get(v, '$.contains', 'array<string>')) <= 20, false))"
+    contains = _at("$.contains")
+    return (
+        f"v is not null and forall({_entries(ENVELOPE_RULES, '$')}, f -> {VALID}) and ({contains} is null"
+        f" or (coalesce(schema_of_variant({contains}) in ('ARRAY<STRING>', 'ARRAY<VOID>'), false)"
+        " and size(try_variant_get(v, '$.contains', 'array<string>')) <= 20))"
     )
-    return " and ".join([
-        "v is not null",
-        is_exactly("$.entity", "event"),
-        is_text("$.event", TOKEN, 100),
-        is_count("$.created_at", MAXIMUM_EPOCH),
-        is_object("$.payload"),
-        contains,
-        _or_null("$.account_id", is_text("$.account_id", IDENTIFIER, 255)),
-    ])
 
 
 def payment_valid() -> str:
-    p = "$.payload.payment.entity"
-    return " and ".join([
-        is_text(f"{p}.id", IDENTIFIER, 255),
-        is_exactly(f"{p}.entity", "payment"),
-        _or_null(f"{p}.order_id", is_text(f"{p}.order_id", IDENTIFIER, 255)),
-        is_text(f"{p}.status", TOKEN, 50),
-        is_count(f"{p}.amount"),
-        is_text(f"{p}.currency", CURRENCY, 3),
-        _or_null(f"{p}.method", is_text(f"{p}.method", TOKEN, 50)),
-        is_count(f"{p}.created_at", MAXIMUM_EPOCH),
-        *[
-            _or_null(f"{p}.{c}", is_text(f"{p}.{c}", OPTIONAL_TOKEN, 100, shortest=0))
-            for c in ("error_code", "error_source", "error_step", "error_reason")
-        ],
-    ])
+    return f"forall({_entries(PAYMENT_RULES, '$.payload.payment.entity')}, f -> {VALID})"
+
+
+def parsed_once(df: DataFrame, text: str) -> DataFrame:
+    """Add ``v``, the parsed ``text``. A filter is not pushed below the generator, so rules on ``v``
+    read the parsed value instead of parsing once per mention."""
+    return df.withColumn("v", F.explode(F.expr(f"array(try_parse_json({text}))")))
 
 
 def signature_valid(key: bytes) -> Column:
@@ -131,9 +165,9 @@ def signature_valid(key: bytes) -> Column:
 def screen(calls: DataFrame, key: bytes, maximum_bytes: int = MAXIMUM_BODY_BYTES) -> DataFrame:
     """Landing rows with ``v`` (parsed body) and ``reject_reason`` (null when accepted)."""
     media = F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1))))
-    checked = calls.withColumn("signature_ok", signature_valid(key))
     # Only bodies that pass the signature are parsed.
-    parsed = checked.withColumn("v", F.expr("try_parse_json(if(signature_ok, body, null))"))
+    checked = calls.withColumn("signature_ok", F.explode(F.array(signature_valid(key))))
+    parsed = parsed_once(checked, "if(signature_ok, body, null)")
     event_id = F.col("provider_event_id")
     reason = (
         F.when(F.coalesce(media, F.lit("")) != "application/json", "unsupported_content_type")
@@ -150,83 +184,67 @@ def screen(calls: DataFrame, key: bytes, maximum_bytes: int = MAXIMUM_BODY_BYTES
     return parsed.withColumn("reject_reason", reason)
 
 
-def _field_rules(kind: str, at: str) -> dict[str, str]:
-    if kind == "event":
-        return {
-            "entity": is_exactly(f"{at}.entity", "event"),
-            "event": is_text(f"{at}.event", TOKEN, 100),
-            "created_at": is_count(f"{at}.created_at", MAXIMUM_EPOCH),
-            "account_id": is_text(f"{at}.account_id", IDENTIFIER, 255),
-        }
-    rules = {
-        "id": is_text(f"{at}.id", IDENTIFIER, 255),
-        "entity": is_exactly(f"{at}.entity", kind),
-        "currency": is_text(f"{at}.currency", CURRENCY, 3),
-        "status": is_text(f"{at}.status", TOKEN, 50),
-        "created_at": is_count(f"{at}.created_at", MAXIMUM_EPOCH),
-    }
-    for c in ("amount", "amount_refunded", "amount_paid", "amount_due", "attempts"):
-        rules[c] = is_count(f"{at}.{c}")
-    for c in ("international", "captured"):
-        rules[c] = is_flag(f"{at}.{c}")
-    for c in ("order_id", "invoice_id"):
-        rules[c] = _or_null(f"{at}.{c}", is_text(f"{at}.{c}", IDENTIFIER, 255))
-    for c, longest in (("method", 50), ("refund_status", 50), ("error_code", 100), ("error_source", 100),
-                       ("error_step", 100), ("error_reason", 100)):
-        rules[c] = _or_null(f"{at}.{c}", is_text(f"{at}.{c}", TOKEN, longest))
-    return rules
-
-
-def _members(kind: str, at: str, fields: tuple[str, ...], redactions: tuple[str, ...]) -> list[str]:
-    rules = _field_rules(kind, at)
-    out = []
-    for f in fields:
-        here = _at(f"{at}.{f}")
-        out.append(
-            f"""if({_kind(f'{at}.{f}')} is null, null, concat('"{f}":', if({rules[f]}, to_json({here}), '"{REDACTED}"')))"""
-        )
-    out += [f"""if({_kind(f'{at}.{f}')} is null, null, '"{f}":"{REDACTED}"')""" for f in redactions]
-    return out
-
-
-def _object(members: list[str]) -> str:
-    return f"concat('{{', concat_ws(',', {', '.join(members)}), '}}')"
+def _members(rules: tuple[Rule, ...], redactions: tuple[str, ...], at: str) -> str:
+    """JSON members of the allowlisted keys that are present, and marks for the sensitive ones."""
+    kept = (
+        f"transform(filter({_entries(rules, at)}, f -> f.x is not null),"
+        f""" f -> concat('"', f.name, '":', if({VALID}, to_json(f.x), '"{REDACTED}"')))"""
+    )
+    if not redactions:
+        return kept
+    marks = ", ".join(f"named_struct('name', '{r}', 'x', {_at(f'{at}.{r}')})" for r in redactions)
+    return (
+        f"concat({kept}, transform(filter(array({marks}), f -> f.x is not null),"
+        f""" f -> concat('"', f.name, '":"{REDACTED}"')))"""
+    )
 
 
 def sanitised_payload() -> Column:
-    """Allowlisted copy of ``v`` as JSON text: unknown keys dropped, bad or sensitive values marked."""
-    event = _members("event", "$", EVENT_FIELDS, ())
-    contains = (
-        "if(coalesce(schema_of_variant(try_variant_get(v, '$.contains', 'variant')) = 'ARRAY<STRING>', false)"
-        " and size(try_variant_get(v, '$.contains', 'array<string>')) <= 20"
-        " and forall(try_variant_get(v, '$.contains', 'array<string>'),"
-        f" x -> length(x) between 1 and 50 and x rlike '{TOKEN}'),"
-        " concat('\"contains\":', to_json(try_variant_get(v, '$.contains', 'variant'))), null)"
+    """Allowlisted copy of ``v`` as JSON text: unknown keys dropped, bad or sensitive values marked.
+
+    The envelope always carries an account id and a list of contents, so an absent account id is
+    marked and an absent list is empty.
+    """
+    contains = _at("$.contains")
+    listed = "try_variant_get(v, '$.contains', 'array<string>')"
+    account = f"""if({_at('$.account_id')} is null, array('"account_id":"{REDACTED}"'), array())"""
+    contents = (
+        f"case when {contains} is null then array('\"contains\":[]')"
+        f" when schema_of_variant({contains}) in ('ARRAY<STRING>', 'ARRAY<VOID>') and size({listed}) <= 20"
+        f" and forall({listed}, x -> length(x) between 1 and 50 and x rlike '{TOKEN}')"
+        f" then array(concat('\"contains\":', to_json({contains}))) else array() end"
     )
     entities = []
-    for kind, fields, redactions in (
-        ("payment", PAYMENT_FIELDS, PAYMENT_REDACTIONS), ("order", ORDER_FIELDS, ORDER_REDACTIONS),
+    for kind, rules, redactions in (
+        ("payment", PAYMENT_ALLOWLIST, PAYMENT_REDACTIONS), ("order", ORDER_ALLOWLIST, ORDER_REDACTIONS),
     ):
         at = f"$.payload.{kind}.entity"
-        inner = _object(_members(kind, at, fields, redactions))
-        entities.append(f"""if({is_object(at)}, concat('"{kind}":{{"entity":', {inner}, '}}'), null)""")
+        inner = f"concat_ws(',', {_members(rules, redactions, at)})"
+        entities.append(f"""if({_is_object(at)}, concat('"{kind}":{{"entity":{{', {inner}, '}}}}'), null)""")
     payload = (
-        f"if({is_object('$.payload.payment.entity')} or {is_object('$.payload.order.entity')},"
-        f" concat('\"payload\":{{', concat_ws(',', {', '.join(entities)}), '}}'), null)"
+        f"if({_is_object('$.payload.payment.entity')} or {_is_object('$.payload.order.entity')},"
+        f" array(concat('\"payload\":{{', concat_ws(',', {', '.join(entities)}), '}}')), array())"
+    )
+    event = _members(EVENT_ALLOWLIST, (), "$")
+    return F.expr(
+        f"concat('{{', concat_ws(',', concat({event}, {account}, {contents}, {payload})), '}}')"
     )
-    return F.expr(_object([*event, contains, payload]))
 
 
 def first_deliveries(screened: DataFrame) -> DataFrame:
-    """Accepted calls, the first of each provider event id.
+    """Accepted calls, the first of each provider event id, parsed again from the kept body.
 
-    A minimum per id combines map-side, so an id delivered a billion times costs no more than one.
+    The earliest call of an id is a minimum, which combines map-side: an id delivered a billion
+    times costs no more than one.
     """
-    accepted = screened.filter("reject_reason is null")
-    winners = accepted.groupBy("provider_event_id").agg(
-        F.min(F.struct("received_at_ms", "call_no")).alias("w")
-    ).select("provider_event_id", F.col("w.call_no").alias("call_no"))
-    return accepted.join(winners, ["provider_event_id", "call_no"], "left_semi")
+    first = F.min_by(F.struct("call_no", "body", "received_at_ms"), F.struct("received_at_ms", "call_no"))
+    kept = (
+        screened.filter("reject_reason is null")
+        .groupBy("provider_event_id")
+        .agg(first.alias("call"))
+        .select("provider_event_id", "call.*")
+    )
+    return parsed_once(kept, "body")
 
 
 def audit_rows(deliveries: DataFrame) -> DataFrame:

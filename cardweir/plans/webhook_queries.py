@@ -46,7 +46,7 @@ def verify(spark, sf):
 
 @query("K3_parse_envelope", "SELECT n AS call_no, n % 43 <> 0 AS valid, name AS event_name, seconds AS created_at FROM webhook_calls")
 def envelope(spark, sf):
-    calls = T.webhooks(spark, sf).withColumn("v", F.expr("try_parse_json(body)"))
+    calls = H.parsed_once(T.webhooks(spark, sf), "body")
     return calls.select(
         "call_no", F.expr(H.envelope_valid()).alias("valid"),
         F.expr("try_variant_get(v, '$.event', 'string')").alias("event_name"),
@@ -60,7 +60,7 @@ def envelope(spark, sf):
   'pay_' || n AS id, {AMOUNT} AS amount FROM webhook_calls""",
 )
 def payment(spark, sf):
-    calls = T.webhooks(spark, sf).withColumn("v", F.expr("try_parse_json(body)"))
+    calls = H.parsed_once(T.webhooks(spark, sf), "body")
     p = "$.payload.payment.entity"
     return calls.select(
         "call_no", F.expr(H.payment_valid()).alias("valid"),
@@ -81,7 +81,7 @@ SANITISED = """'{"entity":' || CASE WHEN n % 43 = 0 THEN '"[REDACTED]"' ELSE '"e
 
 @query("K5_sanitise_payload", f"SELECT n AS call_no, {SANITISED} AS sanitized_payload FROM webhook_calls")
 def sanitise(spark, sf):
-    calls = T.webhooks(spark, sf).withColumn("v", F.expr("try_parse_json(body)"))
+    calls = H.parsed_once(T.webhooks(spark, sf), "body")
     return calls.select("call_no", H.sanitised_payload().alias("sanitized_payload"))
 
 

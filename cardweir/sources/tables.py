@@ -259,7 +259,7 @@ def reference_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def webhooks(spark: SparkSession, sf_dir: str, key: bytes = WEBHOOK_KEY) -> DataFrame:
     """Signed provider calls built from orders, with every way a call can be refused."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     n = F.col("o_orderkey")
     cents = F.floor(F.col("o_totalprice").cast("double") * 100 + 0.5).cast("long")
     name = (
