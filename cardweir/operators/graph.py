@@ -28,7 +28,9 @@ def hubs(decisions: DataFrame) -> DataFrame:
 def edges(decisions: DataFrame) -> DataFrame:
     """event -> hub for every decision that carries a shared token."""
     return (
-        join_on_entity(entity_rows(decisions, GRAPH_KINDS), hubs(decisions), ["kind", "token"], "degree")
+        join_on_entity(
+            entity_rows(decisions, GRAPH_KINDS), materialise(hubs(decisions), "hubs"), ["kind", "token"], "degree"
+        )
         .select(
             F.concat(F.lit("event:"), F.col("id")).alias("source"),
             F.col("hub_id").alias("target"),

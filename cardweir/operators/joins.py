@@ -124,12 +124,14 @@ def join_on_entity(
 
     Entities above ``share`` of all rows, of which there are at most ``1 / share``, are broadcast, so
     their rows stay where they are. All others meet in a shuffle of groups no larger than the share.
-    ``weight`` is each entity's row count. Below ``minimum_rows`` nothing is hot, and the adaptive
-    planner drops the empty half.
+    ``weight`` is each entity's row count. Below ``minimum_rows`` nothing is hot and
+    the join is a plain one. ``entities`` is read several times: pass a written table.
     """
     total = entities.agg(F.sum(weight).alias("n")).scalar()
     least = F.greatest(total * F.lit(share), F.lit(float(minimum_rows)))
     hot = entities.filter(F.col(weight) > least)
+    if hot.isEmpty():
+        return rows.join(entities, keys)
     cold = entities.filter(F.col(weight) <= least)
     near = rows.join(F.broadcast(hot), keys)
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import anchor_time, audit_decimal, clamp, int_div, plain_decimal_text
 from cardweir.operators.joins import join_on_entity
+from cardweir.session import materialise
 
 MAXIMUM_PAGE = 500
 MAXIMUM_ATTEMPTS = 3
@@ -130,7 +131,7 @@ def entity_context(df: DataFrame, exclude_self: bool) -> DataFrame:
     the decisions again; a token that holds a third of the ledger is joined by broadcast.
     """
     rows = entity_rows(df)
-    totals = entity_totals(rows)
+    totals = materialise(entity_totals(rows), "entity-totals")
     if exclude_self:
         # The runner-up at each end: the same minimum with the extreme row removed.
         rest = join_on_entity(
