@@ -78,7 +78,8 @@ def nearest_ranks(
 ) -> DataFrame:
     """Exact nearest-rank percentiles per group from a (group, value, weight) histogram.
 
-    The rank of ``p`` percent of ``n`` is ``max(1, (p * n + 99) div 100)``. Distinct values are
+    ``by`` names a fixed set of groups (features, token kinds): one row each, which is broadcast. The
+    rank of ``p`` percent of ``n`` is ``max(1, (p * n + 99) div 100)``. Distinct values are
     ordered globally by (group, value), so neither a group nor the histogram is held in one task.
     """
     order = [F.col(c) for c in (*by, value)]
@@ -87,7 +88,7 @@ def nearest_ranks(
         start = running.groupBy(*by).agg(
             F.min(F.col("cum") - F.col(weight)).alias("_start"), F.sum(weight).alias("_n")
         )
-        running = running.join(start, list(by))
+        running = running.join(F.broadcast(start), list(by))
     else:
         running = running.withColumns({"_start": F.lit(0), "_n": F.col("cum_total")})
     picks = [

@@ -198,12 +198,9 @@ def psi_band(spark, sf):
     )
 
 
-@query(
-    "A35_drift_report",
-    f"""WITH rec AS (SELECT CAST(calibrated_probability AS DOUBLE) AS p FROM ledger
-  WHERE calibrated_probability IS NOT NULL AND {ANCHOR} >= {NOW} - 7200000
-  ORDER BY {ANCHOR} DESC LIMIT 50000), """
-    + OBSERVED.replace("(SELECT p FROM scored WHERE split = 'test') s", "rec s")
+# The report over a CTE ``rec`` of recent probabilities.
+DRIFT_SQL = (
+    OBSERVED.replace("(SELECT p FROM scored WHERE split = 'test') s", "rec s")
     + ", tt AS (SELECT sum(contribution) AS v, sum(abs(contribution)) AS a, sum(observed_count)::BIGINT AS n FROM pt)"
     + " SELECT CASE WHEN n >= 200 THEN 'ok' ELSE 'insufficient_data' END AS status,"
     + " CASE WHEN n >= 200 THEN round(v, 9) END AS psi, "
@@ -211,7 +208,16 @@ def psi_band(spark, sf):
     + " AS band, n AS observed_rows, bin, bin_count, observed_count, reference_share,"
     " coalesce(observed_share, 0) AS observed_share, round(CASE WHEN n >= 200 THEN contribution ELSE 0 END, 9)"
     " AS contribution, round(CASE WHEN n >= 200 AND a > 0 THEN abs(contribution) / a ELSE 0 END, 9)"
-    " AS contribution_share FROM pt, tt",
+    " AS contribution_share FROM pt, tt"
+)
+
+
+@query(
+    "A35_drift_report",
+    f"""WITH rec AS (SELECT CAST(calibrated_probability AS DOUBLE) AS p FROM ledger
+  WHERE calibrated_probability IS NOT NULL AND {ANCHOR} >= {NOW} - 7200000
+  ORDER BY {ANCHOR} DESC LIMIT 50000), """
+    + DRIFT_SQL,
 )
 def drift_report(spark, sf):
     l = T.ledger(spark, sf)
