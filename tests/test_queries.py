@@ -23,7 +23,9 @@ def test_registry_is_whole():
     wanted |= {f"X{i}" for i in range(1, 6)} | {f"F{i}" for i in range(1, 19)} | {f"T{i}" for i in range(1, 11)}
     wanted |= {f"K{i}" for i in range(1, 9)} | {f"M{i}" for i in range(1, 9)} | {f"V{i}" for i in range(1, 17)}
     wanted |= {f"G{i}" for i in range(1, 8)} | {f"E{i}" for i in range(1, 12)}
-    assert wanted == {name.split("_")[0] for name in queries}
+    found = {name.split("_")[0] for name in queries}
+    assert wanted <= found
+    assert all(x == "pipeline" or x.startswith("op") for x in found - wanted)
 
 
 @pytest.fixture(scope="module")
