@@ -33,3 +33,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.quality_classifier import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op4_jaccard_join",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+  FROM w
+), n AS (SELECT doc_id, len(shingles) AS n FROM s),
+e AS (SELECT doc_id, unnest(shingles) AS g FROM s),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id FROM n JOIN reach r USING (doc_id) GROUP BY n.doc_id
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.jaccard_join import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
