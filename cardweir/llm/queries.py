@@ -61,3 +61,49 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.jaccard_join import near_components
 
     return near_components(table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    # The patterns are written out once more here; DuckDB has no positions of matches, so they come
+    # from the lengths of matches and gaps as well, but the links from plain distances.
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = {
+        "assign": (assign, 2),
+        "access": (r"AKIA[A-Z0-9]+", 0),
+        "hex": (r"[0-9a-f]{32,}", 0),
+        "key": (r"[A-Za-z0-9+/]{40,}", 0),
+        "endpoint": (r"""(?:https?|s3|ftp|jdbc:[a-z]+|amqps?|redis|postgres|mysql|mongodb)://[^\x20\x09-\x0D"''<>]+""", 0),
+    }
+    parts = [
+        f"""SELECT doc_id, '{k}' AS kind, {r} AS rank, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(p) AS p, unnest(g[:len(m)]) AS g
+        FROM (SELECT doc_id, regexp_extract_all(text, '{e}', 0) AS m, regexp_extract_all(text, '{e}', {n}) AS p, string_split_regex(text, '{e}') AS g FROM documents) WHERE len(m) > 0"""
+        for r, (k, (e, n)) in enumerate(kinds.items(), 1)
+    ]
+    return f"""
+WITH found AS ({" UNION ALL ".join(parts)}),
+placed AS (
+  SELECT doc_id, kind, rank, length(m) AS l, length(p) AS lp, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM found
+), kept AS (
+  SELECT doc_id, kind, rank, CAST(e - l AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed
+  WHERE CASE kind WHEN 'assign' THEN lp >= 8 WHEN 'access' THEN l >= 16 WHEN 'key' THEN l = 40 ELSE true END
+), spans AS (
+  SELECT * FROM kept WHERE rank <= 3
+  UNION ALL
+  SELECT * FROM kept w WHERE rank > 3 AND EXISTS (
+    SELECT 1 FROM kept c WHERE c.doc_id = w.doc_id AND (c.kind = 'access' OR (c.kind = 'assign' AND w.kind = 'endpoint')) AND w.s <= c.e + 400 AND w.e >= c.s - 400)
+), lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN lists USING (doc_id)
+"""
+
+
+@query("op9_secrets", _op9_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
