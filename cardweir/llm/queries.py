@@ -107,3 +107,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.secrets import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_mixing",
+    r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents
+), sources AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n, count(*) AS docs, CAST(ceil(count(*) / 1024) AS BIGINT) AS blocks FROM sizes GROUP BY source
+), ends AS (SELECT min(n) AS low, max(n) AS high FROM sources WHERE n > 0),
+exponent AS (
+  SELECT min(k) AS k FROM ends, range(0, 1025) g(k) WHERE k = 1024 OR pow(high / low, 1 - k / 1024) <= 2.0
+), budgets AS (
+  SELECT source, n, blocks, k / 1024 AS exponent, CASE WHEN n > 0 THEN CAST(round(n * pow(high / n, 1 - k / 1024)) AS BIGINT) ELSE 0 END AS budget
+  FROM sources, ends, exponent
+), rows_ AS (
+  SELECT doc_id, source, n_tokens, n, budget, exponent, CAST('0x' || substr(md5('mix|' || doc_id), 1, 8) AS UBIGINT) % blocks AS block,
+    unnest(range(0, CASE WHEN n > 0 THEN greatest(CAST(ceil(budget / n) AS BIGINT), 1) ELSE 1 END)) AS epoch
+  FROM sizes JOIN budgets USING (source)
+), placed AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, block, epoch ORDER BY md5('mix|' || epoch || '|' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM rows_
+), totals AS (SELECT source, block, epoch, sum(n_tokens) AS t FROM rows_ GROUP BY ALL),
+offsets AS (
+  SELECT source, block, epoch, coalesce(sum(t) OVER (PARTITION BY source, epoch ORDER BY md5('mix|' || epoch || '|' || source || '|' || block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+  FROM totals
+), starts AS (SELECT *, CAST(epoch * n + o + before AS BIGINT) AS start_token FROM placed JOIN offsets USING (source, block, epoch))
+SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS BIGINT) AS epoch, CAST(block AS BIGINT) AS block, start_token, budget, exponent,
+  CASE WHEN budget > 0 THEN start_token / budget ELSE 0.0 END AS mix_key
+FROM starts WHERE start_token < budget OR (n_tokens = 0 AND epoch = 0)
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.mixing import plan
+
+    return plan(table(spark, sf_dir, "documents"))
