@@ -143,3 +143,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.mixing import plan
 
     return plan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
