@@ -150,3 +150,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.token_files import token_file_rows
+
+    return token_file_rows(table(spark, sf_dir, "documents"))
