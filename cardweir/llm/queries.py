@@ -157,3 +157,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.token_files import token_file_rows
 
     return token_file_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
