@@ -164,3 +164,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op1_substring_dedup",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w WHERE len(words) >= 13),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s FROM p),
+f AS (SELECT s, min(doc_id) AS low FROM g GROUP BY s),
+marked AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS i FROM g JOIN f ON f.s = g.s AND f.low < g.doc_id),
+gone AS (SELECT doc_id, list(i) AS places, count(*) AS n FROM marked GROUP BY doc_id),
+flat AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (SELECT flat.doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM flat ANTI JOIN marked USING (doc_id, i) GROUP BY flat.doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
