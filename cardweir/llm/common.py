@@ -114,9 +114,12 @@ LOWER_ASCII[65:91] += 32
 
 
 class Block:
-    """Texts of some documents: their bytes, and the words ``[^\\x20\\x09-\\x0D]+`` in them."""
+    """Texts of some documents: their bytes, and the words ``[^\\x20\\x09-\\x0D]+`` in them.
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    ``apart`` gives other bytes (256 flags) that stand between words.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> None:
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
         if texts.null_count:
@@ -127,7 +130,7 @@ class Block:
         raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         self.data = LOWER_ASCII[raw] if lower else raw
         self.offsets = off - off[0]
-        full = ~_SPACE[raw]
+        full = ~apart[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[self.offsets] = True  # a document's first byte starts a word, whatever stands before it
         before = np.concatenate([[False], full[:-1]]) if len(raw) else np.zeros(0, bool)

@@ -185,3 +185,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.language_id import languages
+
+    return languages(table(spark, sf_dir, "documents"))
