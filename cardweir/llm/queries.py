@@ -192,3 +192,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.language_id import languages
 
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_topk_search",
+    r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), c AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS mean FROM w),
+t AS (SELECT doc_id, len(words) AS l, unnest(words) AS term FROM w),
+tf AS (SELECT doc_id, l, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (
+  SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean)) AS s FROM tf JOIN df USING (term), c
+), scored AS (
+  SELECT q.doc_id AS query_id, i.doc_id, round(sum(s), 6) AS score FROM tf q JOIN i USING (term) WHERE q.doc_id % 20 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.topk_search import search_all
+
+    return search_all(table(spark, sf_dir, "documents"))
