@@ -355,7 +355,7 @@ def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
     marks = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
     marks = marks[np.lexsort((marks[:, 2], marks[:, 1], marks[:, 0]))]
     new = np.flatnonzero(np.concatenate([[True], (marks[1:, :2] != marks[:-1, :2]).any(1)])) if len(marks) else np.zeros(0, np.int64)
-    of = {(int(marks[i, 0]), int(marks[i, 1])): marks[i:j, 2] for i, j in zip(new, np.append(new[1:], len(marks)), strict=True)}
+    of = {(int(marks[i, 0]), int(marks[i, 1])): marks[i:j, 2] for i, j in zip(new, np.append(new, len(marks))[1:], strict=True)}
     rows = []
     for text, ids, ordinal in _parts(*(lambda i, o, t: (t, i, o))(*_texts(texts))):
         b = Block(text)
