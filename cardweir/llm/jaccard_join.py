@@ -10,8 +10,10 @@
    copies costs m comparisons, not m * m. Classes of one group are compared with their first class.
 4. Candidates are verified on their whole texts; verified links give components.
 5. Exact rest: groups are expanded into classes, and every pair of classes of different components
-   that shares index shingles is counted; those whose shared prefix shingles can reach 0.8 are verified. Pairs
-   inside a component need no verdict. Steps 3-4 run twice before, on components, so that little is left.
+   that shares index shingles is counted; those whose shared prefix shingles can reach 0.8 are verified.
+   Shingles that very many classes share are worked through block against block, where all pairs of
+   two blocks are intersected at once and only links come out. Pairs inside a component need no
+   verdict. Before, a second round of leaders, now of components, leaves little open.
 
 No pair is dropped by a cap. Hot shingles are split by a salt from the sketch, and joins on them are
 inner joins that adaptive execution splits. Sets hold 64-bit hashes of shingles and classes 64-bit
@@ -43,6 +45,10 @@ SKETCH_BITS = 20
 _CHUNK = 1 << 14
 #: Documents that a part of a hot shingle's list should hold.
 PART_ROWS = 200_000
+#: Leaders of a shingle in the second round.
+LEADERS = 4
+#: A shingle of so many classes is compared in blocks of about so many.
+HOT_ROWS, HOT_BLOCK = 64, 512
 #: log2 of the bits of the filter that spares clean documents a shuffle.
 FILTER_BITS = 24
 
@@ -218,6 +224,52 @@ def _may_pass(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.filter(F.arrow_udf(test, "boolean", F.ArrowUDFType.SCALAR_ITER)(h))
 
 
+def _needed(na: str, nb: str) -> str:
+    """Prefix shingles that two sets must share to reach the similarity, as SQL.
+
+    Past the prefix that reaches less far at most n - p shingles can be common, so the rest of the
+    least overlap must be among the prefix shingles that both have.
+    """
+    tail = lambda n: f"(ceil({SIMILARITY} * {n} / 100) - 1)"  # noqa: E731  n - p
+    return f"ceil({SIMILARITY} * ({na} + {nb}) / {100 + SIMILARITY}) - greatest({tail(na)}, {tail(nb)})"
+
+
+def _links_in_block(table: pa.Table) -> pa.Table:
+    """Links within two blocks (or one) of a hot shingle's classes, counted exactly.
+
+    Intersections of all pairs come from products of 0-1 matrices over the shingles that two or more
+    classes have. Of the links only those that join components are given.
+    """
+    table = table.combine_chunks()
+    cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
+    sets = _sets(pa.concat_arrays(table.column("text").chunks))
+    size = np.array([len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    renumbered = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), size)
+    keep = count[code] > 1
+    owner, code = owner[keep], renumbered[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+        x, y = np.searchsorted(code, [low, low + 2048])
+        m = np.zeros((len(sets), 2048), np.float32)
+        m[owner[x:y], code[x:y] - low] = 1
+        both += m @ m.T
+    linked = 100 * both >= SIMILARITY * (size[:, None] + size[None, :] - both)
+    _, label = np.unique(comp, return_inverse=True)
+    out = []
+    for i in range(len(sets)):
+        near = np.flatnonzero(linked[i])
+        near = near[label[near] != label[i]]
+        if len(near):
+            others, first = np.unique(label[near], return_index=True)
+            out += [(int(cls[i]), int(cls[j])) for j in near[first]]
+            label[np.isin(label, others)] = label[i]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+
 class _Join:
     def __init__(self, docs: DataFrame) -> None:
         self.spark = docs.sparkSession
@@ -237,28 +289,39 @@ class _Join:
         dealt = entries.repartition("token").sortWithinPartitions("token", "grp")
         return dealt.mapInArrow(_shared_runs, "token long, grp long, n long, lead long, lead_n long")
 
+    def with_text(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """``rows`` with the text of the class in each of the columns ``keys``; only texts that rows name are dealt."""
+        named = rows.select(F.explode(F.array(*keys)).alias("cls")).distinct()
+        wanted = self.scratch.write(self.classes.join(named, "cls", "left_semi").select("cls", "doc_id"), "wanted")
+        texts = _may_pass(self.docs, wanted).join(wanted, "doc_id").select("doc_id", "cls", "text")
+        # a doc_id may stand on several texts: take the one that makes the class
+        texts = texts.mapInArrow(_of_class, "cls long, text string").dropDuplicates(["cls"])
+        if len(keys) > 1:
+            texts = self.scratch.write(texts, "texts")
+        for key in keys:
+            rows = rows.join(texts.select(F.col("cls").alias(key), F.col("text").alias(f"text_{key}")), key)
+        return rows
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)`` of classes, those that reach the similarity."""
-        of = lambda x: self.texts.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}"))
-        found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-        return found.mapInArrow(_verify, "a long, b long")
+        pairs = self.scratch.write(pairs, "pairs")
+        return self.with_text(pairs, "a", "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
     def run(self) -> DataFrame:
         """(cls, comp_doc) of all classes; comp_doc: the smallest doc_id of its component."""
         scratch = self.scratch
         runs = scratch.write(self.index(), "runs")
-        member = self.classes.select("cls", "n", "grp")
+        shared = scratch.write(runs.groupBy("grp").agg(F.count(F.lit(1)).alias("shared")), "shared")
+        member = scratch.write(self.classes.join(shared, "grp", "left").select("cls", "n", "grp", F.coalesce("shared", F.lit(0)).alias("shared")), "member")
         crowded = member.groupBy("grp").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
         together = member.join(crowded.select("grp", "first"), "grp")  # classes of groups with several
-        shared = runs.select("grp").union(runs.select("lead")).union(crowded.select("grp")).distinct()
-        wanted = scratch.write(self.classes.join(shared, "grp", "left_semi").select("cls", "doc_id"), "wanted")
-        texts = _may_pass(self.docs, wanted).join(wanted, "doc_id").select("doc_id", "cls", "text")
-        # a doc_id may stand on several texts: take the one that makes the class
-        self.texts = scratch.write(texts.mapInArrow(_of_class, "cls long, text string").dropDuplicates(["cls"]), "texts")
 
+        # a pair can't have more prefix shingles in common than either has in common with anyone
+        size = shared.withColumnsRenamed({"grp": "lead", "shared": "lead_shared"})
         rep = self.classes.groupBy("grp").agg(F.min("cls").alias("cls"))
         best = (
-            runs.filter(f"grp <> lead and {_near_in_size('n', 'lead_n')}").groupBy("grp", "lead").count()
+            runs.filter(f"grp <> lead and {_near_in_size('n', 'lead_n')}").groupBy("grp", "n", "lead", "lead_n").count()
+            .join(shared, "grp").join(size, "lead").filter(f"least(shared, lead_shared) >= {_needed('n', 'lead_n')}")
             .groupBy("grp").agg(F.max_by("lead", F.struct("count", F.col("lead"))).alias("lead"))
         )
         pairs = best.join(rep.withColumnRenamed("cls", "a"), "grp").join(rep.select(F.col("grp").alias("lead"), F.col("cls").alias("b")), "lead").select("a", "b")
@@ -266,61 +329,78 @@ class _Join:
         links = scratch.write(self.links(pairs.filter("a <> b").distinct()), "links")
         label = components(links, scratch)
 
-        for rest in (True, False):
-            named = member.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "grp", F.coalesce("comp", "cls").alias("comp"))
+        for last in (False, True):
+            named = member.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "grp", "shared", F.coalesce("comp", "cls").alias("comp"))
             named = scratch.write(named, "named")
-            open_, near = self._open(runs, named), self._open_groups(named)
-            if rest:
-                lead = open_.groupBy("token").agg(F.min_by(F.struct("cls", "comp", "n"), "comp").alias("l"))
-                pairs = (
-                    open_.join(lead, "token").filter(f"comp <> l.comp and {_near_in_size('n', 'l.n')}").groupBy("comp", "cls", F.col("l.cls").alias("b")).count()
-                    .groupBy("cls").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b")).select(F.col("cls").alias("a"), "b")
-                )
+            open_ = self._open(runs, named)
+            if last:
+                count = open_.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+                hot = count.filter(F.col("rows") >= HOT_ROWS)
+                cold = open_.join(count.filter(F.col("rows") < HOT_ROWS), "token", "left_semi")
+                more = self.links(self._pairs(cold).union(self._pairs_in_groups(named)).distinct()).union(self._hot_links(open_, hot))
             else:
-                pairs = self._all_open_pairs(open_).union(self._pairs_in_groups(near)).distinct()
-            more = scratch.write(self.links(pairs), "links")
-            scratch.drop(open_)
-            if not more.isEmpty():
-                label = components(links.union(more), scratch)
+                more = self.links(self._leader_pairs(open_).distinct())
+            more = scratch.write(more, "links")
             links = scratch.write(links.union(more), "links")
+            if not more.isEmpty():
+                label = components(links, scratch)
+            scratch.drop(open_, named)
         named = self.classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
         low = named.groupBy("comp").agg(F.min("doc_id").alias("comp_doc"))
         out = scratch.write(named.join(low, "comp").select("cls", "comp_doc"), "result")
-        scratch.drop(runs, wanted, self.texts, links)
+        scratch.drop(runs, shared, member, links)
         return out
 
     def _open(self, runs: DataFrame, named: DataFrame) -> DataFrame:
-        """(token, cls, n, comp) of shingles that classes of several components have."""
+        """(token, cls, n, shared, comp) of shingles that classes of several components have."""
         rows = runs.select(F.col("token").bitwiseAND(F.lit(-256)).alias("token"), "grp").distinct()
-        rows = rows.join(named, "grp").select("token", "cls", "n", "comp")
+        rows = rows.join(named, "grp").select("token", "cls", "n", "shared", "comp")
         several = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
         return self.scratch.write(rows.join(several, "token", "left_semi"), "open")
 
     @staticmethod
-    def _open_groups(named: DataFrame) -> DataFrame:
-        several = named.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
-        return named.join(several, "grp", "left_semi")
+    def _leader_pairs(open_: DataFrame) -> DataFrame:
+        """For each class and seed the leader of another component that it shares most shingles with.
+
+        A leader is a shingle's first class by a seeded hash; several seeds give a class several chances.
+        """
+        one = lambda seed: F.min_by(F.struct("cls", "comp", "n", "shared", F.lit(seed).alias("seed")), F.xxhash64("cls", F.lit(seed)))
+        lead = open_.groupBy("token").agg(F.array(*[one(i) for i in range(LEADERS)]).alias("l")).select("token", F.explode("l").alias("l"))
+        fits = f"comp <> l.comp and {_near_in_size('n', 'l.n')} and least(shared, l.shared) >= {_needed('n', 'l.n')}"
+        counted = open_.join(lead, "token").filter(fits).groupBy("cls", "l.seed", F.col("l.cls").alias("b")).count()
+        best = counted.groupBy("cls", "seed").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
+        return best.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
 
     @staticmethod
-    def _all_open_pairs(open_: DataFrame) -> DataFrame:
-        """Pairs of classes of different components whose shared prefix shingles leave 0.8 in reach.
+    def _pairs(cold: DataFrame) -> DataFrame:
+        """Pairs of classes of different components whose shared prefix shingles leave the similarity in reach.
 
-        Past the shorter-reaching prefix at most n - p shingles can be common, so a link needs at
-        least the rest of the overlap among the prefix shingles that both have.
+        Pairs that share hot shingles too are counted too low here; those are looked at by ``_hot_links``.
         """
-        x = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = open_.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = x.join(y, "token").filter(f"a < b and ca <> cb and {_near_in_size('na', 'nb')}").groupBy("a", "b", "na", "nb").count()
-        tail = lambda n: f"(ceil({SIMILARITY} * {n} / 100) - 1)"  # noqa: E731  n - p
-        need = f"ceil({SIMILARITY} * (na + nb) / {100 + SIMILARITY}) - greatest({tail('na')}, {tail('nb')})"
-        return pairs.filter(f"count >= {need}").select("a", "b")
+        side = lambda x: cold.select("token", *[F.col(c).alias(c + x) for c in ("cls", "n", "shared", "comp")])
+        fits = f"clsa < clsb and compa <> compb and {_near_in_size('na', 'nb')} and least(shareda, sharedb) >= {_needed('na', 'nb')}"
+        pairs = side("a").join(side("b"), "token").filter(fits).groupBy("clsa", "clsb", "na", "nb").count()
+        return pairs.filter(f"count >= {_needed('na', 'nb')}").select(F.col("clsa").alias("a"), F.col("clsb").alias("b"))
 
     @staticmethod
-    def _pairs_in_groups(near: DataFrame) -> DataFrame:
+    def _pairs_in_groups(named: DataFrame) -> DataFrame:
+        """Pairs of different components within one group: all their prefix shingles are the same."""
+        several = named.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
+        near = named.join(several, "grp", "left_semi")
         x = near.select("grp", F.col("cls").alias("a"), F.col("comp").alias("ca"))
         y = near.select("grp", F.col("cls").alias("b"), F.col("comp").alias("cb"))
         return x.join(y, "grp").filter("a < b and ca <> cb").select("a", "b")
 
+    def _hot_links(self, open_: DataFrame, hot: DataFrame) -> DataFrame:
+        """Links among the classes of shingles that very many have, block against block."""
+        blocks = hot.select("token", F.ceil(F.col("rows") / HOT_BLOCK).cast("int").alias("blocks"))
+        rows = open_.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+        rows = self.scratch.write(rows.select("token", low, high, "cls", "comp"), "hot")
+        full = self.with_text(rows, "cls").withColumnRenamed("text_cls", "text")
+        return full.groupBy("token", "x", "y").applyInArrow(_links_in_block, "a long, b long")
+
 
 def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
