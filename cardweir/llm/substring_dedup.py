@@ -48,7 +48,7 @@ _GRAM = 7
 _ANCHORS = WINDOW - _GRAM + 1
 _TABLE = 1 << 16
 #: Suffixes of a group, bytes of text of a bucket of documents, suffixes from which a node is hot.
-GROUP_SUFFIXES, BUCKET_BYTES, HOT_SUFFIXES = 2_000_000, 12_000_000, 1_000_000
+GROUP_SUFFIXES, BUCKET_BYTES, HOT_SUFFIXES = 1_000_000, 6_000_000, 1_000_000
 _NO_ID = (1 << 63) - 1
 
 _HASH, _EDGE = Hasher(1), Hasher(11)
@@ -212,7 +212,7 @@ class _Dedup:
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text", 16_000_000):
+                for part in slices(batch, "text", 6_000_000):
                     s = _Suffixes(column(part, "text"))
                     h, position, _ = s.anchors()
                     doc = np.searchsorted(s.block.first, position, side="right") - 1
