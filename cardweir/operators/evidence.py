@@ -62,7 +62,7 @@ def facts(ledger: DataFrame) -> DataFrame:
     eligible = eligible_for_explanation(ledger).filter("calibrated_probability is not null").select(
         "id", "calibrated_probability", "decision_threshold", "risk_decision",
         F.coalesce("action", F.lit("review")).alias("action"), "fail_safe_reason",
-        "amount_subunits", "currency", "channel", "event_no",
+        "amount_subunits", "currency", "channel",
     )
     context = entity_context(ledger, exclude_self=True)
     columns = []
@@ -195,13 +195,17 @@ def contradiction(text: str, action: str | Column) -> Column:
 
 
 def malformed(summary: str, caveat: str, factors: str) -> Column:
-    s, c = F.col(summary), F.col(caveat)
-    return (
+    """Bounds of a draft; a missing summary or factor list breaks them, a missing caveat is empty."""
+    s, c = F.col(summary), F.coalesce(F.col(caveat), F.lit(""))
+    known = F.array(*[F.lit(code) for code in FACTOR_LABELS])
+    broken = (
         ~F.length(s).between(MINIMUM_SUMMARY, MAXIMUM_SUMMARY)
         | (F.length(c) > MAXIMUM_CAVEAT)
         | (F.octet_length(s) + F.octet_length(c) > MAXIMUM_BYTES)
         | ~F.size(factors).between(1, MAXIMUM_FACTORS)
+        | F.exists(factors, lambda f: f.isNull() | ~F.array_contains(known, f))
     )
+    return F.coalesce(broken, F.lit(True))
 
 
 def screen_explanations(drafts: DataFrame, known: DataFrame) -> DataFrame:
@@ -212,7 +216,7 @@ def screen_explanations(drafts: DataFrame, known: DataFrame) -> DataFrame:
     joined = drafts.join(known, "id").withColumns({"entailed": factor_codes(), "permitted": permitted_numbers()})
 
     def either(check) -> Column:
-        return check("summary") | check("caveat")
+        return check("summary") | F.coalesce(check("caveat"), F.lit(False))
 
     reason = (
         F.when(malformed("summary", "caveat", "factors"), "malformed_response")

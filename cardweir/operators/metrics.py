@@ -102,13 +102,13 @@ def ranking_metrics(df: DataFrame) -> DataFrame:
     c = cumulative_scores(df)
     return c.selectExpr(
         "*",
-        "attacks / double(tp_total) as d_recall",
-        "legitimate / double(fp_total) as d_fpr",
+        "try_divide(attacks, double(tp_total)) as d_recall",
+        "try_divide(legitimate, double(fp_total)) as d_fpr",
         "tp / double(tp + fp) as precision",
         # Before the first point the precision-recall curve is anchored at precision 1.
         "if(tp + fp = attacks + legitimate, 1D,"
         " (tp - attacks) / double(tp + fp - attacks - legitimate)) as prev_precision",
-        "(tp - attacks + tp) / (2D * tp_total) as mean_recall",
+        "try_divide(tp - attacks + tp, 2D * tp_total) as mean_recall",
     ).agg(
         F.expr("sum(d_recall * precision) as average_precision"),
         F.expr("sum(d_recall * (precision + prev_precision) / 2) as pr_auc_trapezoidal"),
@@ -161,7 +161,7 @@ def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
 def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(
         F.expr(
-            "sum(bin_count * abs(mean_probability - attack_rate)) / sum(bin_count)"
+            "try_divide(sum(bin_count * abs(mean_probability - attack_rate)), sum(bin_count))"
             " as expected_calibration_error"
         )
     )

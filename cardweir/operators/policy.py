@@ -27,14 +27,16 @@ class Gates:
 
 
 def classify(p: str | Column, threshold: float) -> Column:
-    """deny at or above the threshold, else allow; compares the full doubles."""
+    """deny at or above the threshold, else allow; compares the full doubles. No score, no decision."""
     column = F.col(p) if isinstance(p, str) else p
-    return F.when(column >= F.lit(float(threshold)), "deny").otherwise("allow")
+    return F.when(column.isNull() | F.isnan(column), None).when(column >= F.lit(float(threshold)), "deny").otherwise("allow")
 
 
 def band_route(p: str, lower: float, upper: float) -> Column:
+    """allow below the band, deny above it; what lies between or has no score is reviewed."""
     return (
-        F.when(F.col(p) >= F.lit(float(upper)), "deny")
+        F.when(F.col(p).isNull() | F.isnan(p), "review")
+        .when(F.col(p) >= F.lit(float(upper)), "deny")
         .when(F.col(p) >= F.lit(float(lower)), "review")
         .otherwise("allow")
     )
@@ -88,20 +90,20 @@ def _values(spark, values: tuple[float, ...]) -> DataFrame:
     return spark.createDataFrame([(float(v),) for v in values], "p double")
 
 
-def sweep_candidates(df: DataFrame, grid_size: int, required: tuple[float, ...] = ()) -> DataFrame:
-    """Distinct observed probabilities with 0 and 1, thinned evenly to the grid, plus the required."""
-    if grid_size < 2:
+def sweep_candidates(df: DataFrame, grid_size: int | None = None, required: tuple[float, ...] = ()) -> DataFrame:
+    """Distinct observed probabilities with 0 and 1, plus the required; a grid thins them evenly."""
+    if grid_size is not None and grid_size < 2:
         raise ValueError("a grid needs at least two points")
     spark = df.sparkSession
     observed = df.select("p").union(_values(spark, (0.0, 1.0))).distinct()
-    thinned = systematic_sample(observed, grid_size, F.col("p"))
+    thinned = observed if grid_size is None else systematic_sample(observed, grid_size, F.col("p"))
     if required:
         thinned = thinned.union(_values(spark, required))
     return thinned.distinct()
 
 
 def select_band(
-    df: DataFrame, costs: Costs = Costs(), grid_size: int = 512, required: tuple[float, ...] = ()
+    df: DataFrame, costs: Costs = Costs(), grid_size: int | None = None, required: tuple[float, ...] = ()
 ) -> DataFrame:
     """The cheapest (lower <= upper) pair of candidates with its counts, one row.
 

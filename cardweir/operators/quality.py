@@ -224,11 +224,11 @@ def entity_rotation_shift(df: DataFrame, multiplier: int = 2) -> DataFrame:
         .agg(F.count("token").alias("unique_tokens"), F.sum("n").alias("attacks"))
     )
     test = unique.filter("split = 'test'").selectExpr("kind", "unique_tokens as test_unique", "attacks as test_attacks")
-    # Two rows: one per kind.
-    return unique.filter("split <> 'test'").join(F.broadcast(test), "kind").selectExpr(
+    # Two rows: one per kind. Without attacks in the test split a baseline is not shifted.
+    return unique.filter("split <> 'test'").join(F.broadcast(test), "kind", "left").selectExpr(
         "kind", "split as baseline", "unique_tokens as baseline_unique", "attacks as baseline_attacks",
-        "test_unique", "test_attacks",
-        f"unique_tokens > 0 and test_unique > 0 and test_unique * attacks >= {multiplier} * unique_tokens * test_attacks as shifted",
+        "coalesce(test_unique, 0L) as test_unique", "coalesce(test_attacks, 0L) as test_attacks",
+        f"unique_tokens > 0 and coalesce(test_unique, 0) > 0 and test_unique * attacks >= {multiplier} * unique_tokens * test_attacks as shifted",
     )
 
 
@@ -313,10 +313,10 @@ def sensitive_value(value: str | Column) -> Column:
     )
 
 
-def ground_truth_leak(df: DataFrame) -> DataFrame:
-    """Evaluation-only columns present in model-visible data: a check of the schema alone."""
-    leaked = [c for c in df.columns if c in GROUND_TRUTH_COLUMNS]
-    return df.sparkSession.createDataFrame([(c,) for c in leaked], "leaked string")
+def ground_truth_leak(df: DataFrame, column: str) -> DataFrame:
+    """(leaked, rows): evaluation-only keys that occur in model-visible JSON lines, at any depth."""
+    found = json_keys(df, column).filter(F.col("key").isin(*GROUND_TRUTH_COLUMNS))
+    return found.groupBy(F.col("key").alias("leaked")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def one_class_partitions(df: DataFrame, partition: str) -> DataFrame:

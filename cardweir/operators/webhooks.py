@@ -20,7 +20,7 @@ TOKEN = "^[A-Za-z0-9_.-]+$"
 OPTIONAL_TOKEN = "^[A-Za-z0-9_.-]*$"
 CURRENCY = "^[A-Z]{3}$"
 MAXIMUM_EPOCH = 4_102_444_800
-MAXIMUM_BODY_BYTES = 65_536
+MAXIMUM_BODY_BYTES = 262_144
 REDACTED = "[REDACTED]"
 PAYMENT_REDACTIONS = (
     "acquirer_data", "card", "contact", "description", "email", "ip", "ip_address", "notes", "phone",
@@ -38,7 +38,7 @@ class Rule:
     """What a value at a path must be. ``limit`` is a length for texts, a bound for counts."""
 
     name: str
-    want: str  # identifier, token, loose_token, currency, count, flag, object or =constant
+    want: str  # identifier, token, loose_token, currency, count, loose_count, flag, object or =constant
     limit: int = 2**62
     optional: bool = False  # absent or null is fine
 
@@ -47,7 +47,7 @@ class Rule:
 ENVELOPE_RULES = (
     Rule("entity", "=event"),
     Rule("event", "token", 100),
-    Rule("created_at", "count", MAXIMUM_EPOCH),
+    Rule("created_at", "loose_count", MAXIMUM_EPOCH),
     Rule("payload", "object"),
     Rule("account_id", "identifier", 255, optional=True),
 )
@@ -56,10 +56,10 @@ PAYMENT_RULES = (
     Rule("entity", "=payment"),
     Rule("order_id", "identifier", 255, optional=True),
     Rule("status", "token", 50),
-    Rule("amount", "count"),
+    Rule("amount", "loose_count"),
     Rule("currency", "currency", 3),
     Rule("method", "token", 50, optional=True),
-    Rule("created_at", "count", MAXIMUM_EPOCH),
+    Rule("created_at", "loose_count", MAXIMUM_EPOCH),
     *[Rule(c, "loose_token", 100, optional=True) for c in ("error_code", "error_source", "error_step", "error_reason")],
 )
 EVENT_ALLOWLIST = (
@@ -94,11 +94,16 @@ ORDER_ALLOWLIST = (
     Rule("created_at", "count", MAXIMUM_EPOCH),
 )
 
+# A whole number as a number, or as text; the decision reads 1.0 and "1" as 1.
+WHOLE = r"^[ ]*[+-]?[0-9]+([.]0+)?[ ]*$"
+
 # Checks one entry ``f`` of a rule array; patterns stay literals, so each compiles once.
 VALID = f"""case
   when f.x is null or schema_of_variant(f.x) = 'VOID' then f.optional
   when f.want = 'count' then schema_of_variant(f.x) = 'BIGINT'
     and coalesce(try_variant_get(f.x, '$', 'bigint') between 0 and f.limit, false)
+  when f.want = 'loose_count' then coalesce(f.s rlike '{WHOLE}' and try_cast(f.s as decimal(20,0)) between 0 and f.limit, false)
+    and schema_of_variant(f.x) not like 'OBJECT%' and schema_of_variant(f.x) not like 'ARRAY%'
   when f.want = 'flag' then schema_of_variant(f.x) = 'BOOLEAN'
   when f.want = 'object' then schema_of_variant(f.x) like 'OBJECT%'
   when schema_of_variant(f.x) <> 'STRING' then false
@@ -118,7 +123,7 @@ def _text(path: str) -> str:
 
 
 def _number(path: str) -> str:
-    return f"try_variant_get(v, '{path}', 'bigint')"
+    return f"try_cast(try_cast(trim({_text(path)}) as decimal(20,0)) as bigint)"
 
 
 def _is_object(path: str) -> str:
@@ -165,8 +170,9 @@ def signature_valid(key: bytes) -> Column:
 def screen(calls: DataFrame, key: bytes, maximum_bytes: int = MAXIMUM_BODY_BYTES) -> DataFrame:
     """Landing rows with ``v`` (parsed body) and ``reject_reason`` (null when accepted)."""
     media = F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1))))
-    # Only bodies that pass the signature are parsed.
-    checked = calls.withColumn("signature_ok", F.explode(F.array(signature_valid(key))))
+    # Only bodies of the right type and size are hashed, and only those that pass are parsed.
+    bounded = (F.coalesce(media, F.lit("")) == "application/json") & (F.octet_length("body") <= maximum_bytes)
+    checked = calls.withColumn("signature_ok", F.explode(F.array(F.when(F.coalesce(bounded, F.lit(False)), signature_valid(key)).otherwise(False))))
     parsed = parsed_once(checked, "if(signature_ok, body, null)")
     event_id = F.col("provider_event_id")
     reason = (

@@ -17,7 +17,25 @@ FACTS = "cx AS (" + context_sql(True) + """), fx AS (SELECT l.id, l.event_no, l.
     + ", ".join(f"max(CASE WHEN kind = '{k}' THEN {c} END) AS {k}_{c}" for c in ("decision_count", "denied_count", "review_count", "span_seconds"))
     for k in KINDS
 ) + """ FROM ledger l JOIN cx USING (id) WHERE l.status = 'final' AND l.risk_decision = 'deny' GROUP BY ALL)"""
-CODES = "list_filter([" + ", ".join(f"CASE WHEN {e} THEN '{c}' END" for c, e in E._support().items()) + "], lambda x: x IS NOT NULL)"
+# What entails each factor, written out for the checks.
+SUPPORT = (
+    ("probability_at_or_above_threshold", "calibrated_probability >= decision_threshold"),
+    ("device_reuse", "device_present AND device_decision_count > 1"),
+    ("network_reuse", "network_present AND network_decision_count > 1"),
+    ("instrument_reuse", "instrument_present AND instrument_decision_count > 1"),
+    ("merchant_volume", "merchant_present AND merchant_decision_count >= 5"),
+    ("prior_denials_on_device", "device_present AND device_denied_count > 0"),
+    ("prior_denials_on_network", "network_present AND network_denied_count > 0"),
+    ("prior_denials_on_instrument", "instrument_present AND instrument_denied_count > 0"),
+    (
+        "rapid_succession",
+        "(device_present AND device_decision_count >= 3 AND device_span_seconds <= 300)"
+        " OR (network_present AND network_decision_count >= 3 AND network_span_seconds <= 300)"
+        " OR (instrument_present AND instrument_decision_count >= 3 AND instrument_span_seconds <= 300)"
+        " OR (merchant_present AND merchant_decision_count >= 3 AND merchant_span_seconds <= 300)",
+    ),
+)
+CODES = "list_filter([" + ", ".join(f"CASE WHEN {e} THEN '{c}' END" for c, e in SUPPORT) + "], lambda x: x IS NOT NULL)"
 ALLOWED = "['1', '2', '5', '10', '1000']"
 
 
@@ -46,7 +64,8 @@ SELECTED_SPARK = "case event_no % 3 when 0 then array('device_reuse', 'rapid_suc
 
 
 def _unsupported(spark, sf):
-    f = _facts(spark, sf).withColumns({"entailed": E.factor_codes(), "selected": F.expr(SELECTED_SPARK)})
+    numbered = _facts(spark, sf).join(T.ledger(spark, sf).select("id", "event_no"), "id")
+    f = numbered.withColumns({"entailed": E.factor_codes(), "selected": F.expr(SELECTED_SPARK)})
     return f.select(
         "id", F.array_join(E.unsupported_factors("selected", "entailed"), ",").alias("unsupported"),
         E.has_duplicates("selected").alias("duplicated"),
@@ -112,14 +131,16 @@ def permitted_numbers(spark, sf):
     return _facts(spark, sf).select("id", F.array_join(F.array_sort(E.permitted_numbers()), " ").alias("permitted"))
 
 
+NUMERAL = r"\p{Nd}[\p{Nd},]*(?:[.]\p{Nd}+)?"
+WORD = r"[\p{L}\p{N}_]+"
 WORDS_SQL = "[" + ", ".join(f"'{w}'" for w in E.NUMBER_WORDS) + "]"
 VALUES_SQL = "[" + ", ".join(f"'{n}'" for n in E.NUMBER_WORDS.values()) + "]"
 
 
 def unsupported_sql(text: str, allowed: str) -> str:
-    numerals = f"list_transform(regexp_extract_all({text}, '{E.NUMERAL}'), lambda x: {number_sql('x')})"
+    numerals = f"list_transform(regexp_extract_all({text}, '{NUMERAL}'), lambda x: {number_sql('x')})"
     words = (
-        f"list_transform(list_filter(list_distinct(regexp_extract_all(lower({text}), '{E.WORD}')), lambda x: list_contains({WORDS_SQL}, x)),"
+        f"list_transform(list_filter(list_distinct(regexp_extract_all(lower({text}), '{WORD}')), lambda x: list_contains({WORDS_SQL}, x)),"
         f" lambda x: {VALUES_SQL}[list_position({WORDS_SQL}, x)])"
     )
     return f"list_sort(list_distinct(list_filter({numerals} || {words}, lambda x: NOT list_contains({allowed}, x))))"
@@ -133,10 +154,20 @@ def unsupported_numbers(spark, sf):
     )
 
 
+# The shapes and fragments once more, for the checks.
+SHAPES = (
+    "(evt|mrc|chk|cus|dev|net|ses|pmt)_[0-9a-f]{32}",
+    r"<[\s]*[a-zA-Z/!]", r"(?i)javascript[\s]*:", r"(?i)data[\s]*:[\s]*[a-z]+/", "&#[0-9]",
+    r"(^|[^\p{Nd}.,])[0-9]{13,19}([^\p{Nd}.,]|$)",
+    r"(^|[^\p{Nd}.,])[+]?\p{Nd}[\p{Nd}\s\p{Z}-]{8,}\p{Nd}([^\p{Nd}.,]|$)",
+    "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+",
+)
+FRAGMENTS = ("email", "cardholder", "card_number", "ip_address", "cvv", "@", "acquirer", "token_id")
+
+
 def forbidden_sql(text: str) -> str:
-    shapes = [E.TOKEN_SHAPE, *E.MARKUP_SHAPES, *E.PII_SHAPES]
-    tests = [f"regexp_matches({text}, '{s}')" for s in shapes]
-    tests += [f"contains(lower({text}), '{f}')" for f in E.FORBIDDEN_SUBSTRINGS]
+    tests = [f"regexp_matches({text}, '{s}')" for s in SHAPES]
+    tests += [f"contains(lower({text}), '{f}')" for f in FRAGMENTS]
     return "(" + " OR ".join(tests) + ")"
 
 
@@ -146,11 +177,11 @@ def forbidden_content(spark, sf):
 
 
 def mismatch_sql(text: str, currency: str) -> str:
-    return f"(len(list_filter(regexp_extract_all({text}, '{E.WORD}'), lambda x: regexp_matches(x, '^[A-Z]{{3}}$') AND x <> {currency})) > 0)"
+    return f"(len(list_filter(regexp_extract_all({text}, '{WORD}'), lambda x: regexp_matches(x, '^[A-Z]{{3}}$') AND x <> {currency})) > 0)"
 
 
 def contradiction_sql(text: str) -> str:
-    return f"(len(list_filter(regexp_extract_all(lower({text}), '{E.WORD}'), lambda x: x IN ('approved', 'allowed'))) > 0)"
+    return f"(len(list_filter(regexp_extract_all(lower({text}), '{WORD}'), lambda x: x IN ('approved', 'allowed'))) > 0)"
 
 
 @query("E7_currency_and_contradiction", f"WITH {TEXTS} SELECT k, {mismatch_sql('text', chr(39) + 'INR' + chr(39))} AS currency_mismatch, {contradiction_sql('text')} AS contradiction FROM tx")
@@ -205,8 +236,13 @@ def screen_explanations(spark, sf):
     return E.screen_explanations(drafts, known)
 
 
-LABELS = "[" + ", ".join(f"'{v}'" for v in E.FACTOR_LABELS.values()) + "]"
-NAMES = "[" + ", ".join(f"'{v}'" for v in E.FACTOR_LABELS) + "]"
+WORDING = (
+    "risk at or above the locked threshold", "device reused across decisions", "network reused across decisions",
+    "instrument reused across decisions", "elevated merchant volume in window", "prior denials on this device",
+    "prior denials on this network", "prior denials on this instrument", "decisions in rapid succession",
+)
+LABELS = "[" + ", ".join(f"'{v}'" for v in WORDING) + "]"
+NAMES = "[" + ", ".join(f"'{c}'" for c, _ in SUPPORT) + "]"
 
 
 @query("E11_render_factors", f"WITH {FACTS} SELECT id, array_to_string(list_transform({CODES}, lambda c: {LABELS}[list_position({NAMES}, c)]), '; ') AS labels FROM fx")

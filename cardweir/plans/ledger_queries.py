@@ -215,8 +215,7 @@ DRIFT_SQL = (
 @query(
     "A35_drift_report",
     f"""WITH rec AS (SELECT CAST(calibrated_probability AS DOUBLE) AS p FROM ledger
-  WHERE calibrated_probability IS NOT NULL AND {ANCHOR} >= {NOW} - 7200000
-  ORDER BY {ANCHOR} DESC LIMIT 50000), """
+  WHERE calibrated_probability IS NOT NULL AND {ANCHOR} >= {NOW} - 7200000), """
     + DRIFT_SQL,
 )
 def drift_report(spark, sf):

@@ -8,8 +8,7 @@ from cardweir.operators import features as X
 from cardweir.operators import metrics as M
 from cardweir.operators import policy as P
 from cardweir.plans.registry import query
-from cardweir.plans.rolling_queries import CURRENT_SQL, families_sql
-from cardweir.operators.rolling import CHECKOUT, FAMILIES
+from cardweir.operators.rolling import FAMILIES
 from cardweir.sources import tables as T
 
 THRESHOLD = 0.62
@@ -222,6 +221,7 @@ def evaluation_report(spark, sf):
     )
 
 
+EVERY_CANDIDATE = "cand AS (SELECT p FROM scored UNION SELECT 0.0 UNION SELECT 1.0 UNION SELECT 0.615)"
 CANDIDATES = """o AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n
   FROM (SELECT DISTINCT p FROM scored UNION SELECT 0.0 UNION SELECT 1.0) d),
 cand AS (SELECT p FROM o WHERE n <= {g} OR i IN (SELECT (g.j * (SELECT max(n) - 1 FROM o)) // ({g} - 1)
@@ -258,7 +258,7 @@ def evaluate_single_threshold(spark, sf):
 
 @query(
     "A22_select_band",
-    "WITH " + CANDIDATES.format(g=64) + """,
+    "WITH " + EVERY_CANDIDATE + """,
 n AS (SELECT c.p, count(s.p) FILTER (WHERE s.p < c.p) AS below,
   count(s.p) FILTER (WHERE s.p < c.p AND y = 1) AS fn,
   count(s.p) FILTER (WHERE s.p >= c.p AND y = 0) AS fp,
@@ -272,7 +272,7 @@ FROM n lo JOIN n hi ON lo.p <= hi.p
 ORDER BY 3, 4, 5 DESC, 7, 2 DESC, 1 DESC LIMIT 1""",
 )
 def select_band(spark, sf):
-    return P.select_band(T.scored(spark, sf), grid_size=64, required=(0.615,))
+    return P.select_band(T.scored(spark, sf), required=(0.615,))
 
 
 REPORT_EXTRA = """false_positive / nullif(legitimate_count, 0)::DOUBLE AS false_positive_rate,
@@ -368,24 +368,23 @@ def partition_summary(spark, sf):
     return M.partition_summary(T.scored(spark, sf))
 
 
-FEATURES_SQL = families_sql([f for f in FAMILIES if f is not CHECKOUT], rate=True)
-SOME = [
-    "amount_subunits", "utc_hour", "merchant_prior_attempt_count_3600s",
-    "network_distinct_sessions_300s", "session_prior_failure_rate_300s_bp",
-]
+def distributions_sql() -> str:
+    from cardweir.plans.rolling_queries import ALL_SQL
 
+    joined = " ".join(f"JOIN {f.name} USING (event_id)" for f in FAMILIES)
+    return (
+        f"{ALL_SQL}, g AS (SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in X.FEATURE_NAMES)} FROM cur {joined}), "
+        "u AS (UNPIVOT g ON COLUMNS(*) INTO NAME feature VALUE v), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v) AS rn, count(*) OVER (PARTITION BY feature) AS n FROM u) "
+        "SELECT feature, min(v) AS min, max(v) AS max, "
+        + ", ".join(f"min(CASE WHEN rn >= greatest(1, ({p} * n + 99) // 100) THEN v END) AS p{p}" for p in (50, 95, 99))
+        + ", count(*) FILTER (WHERE v = 0) AS zero_count FROM o GROUP BY feature"
+    )
 
-@query(
-    "A1_feature_distributions",
-    f"WITH f AS ({FEATURES_SQL.replace('WITH ', 'WITH ')}), g AS (SELECT f.*, {CURRENT_SQL.split(',')[0]}, (occurred_at_ms // 3600000) % 24 AS utc_hour FROM f JOIN attempts USING (event_id)), "
-    "u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM g" for c in SOME) + "), "
-    "o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v) AS rn, count(*) OVER (PARTITION BY feature) AS n FROM u) "
-    "SELECT feature, min(v) AS min, max(v) AS max, "
-    + ", ".join(f"min(CASE WHEN rn >= greatest(1, ({p} * n + 99) // 100) THEN v END) AS p{p}" for p in (50, 95, 99))
-    + ", count(*) FILTER (WHERE v = 0) AS zero_count FROM o GROUP BY feature",
-)
+
+@query("A1_feature_distributions", distributions_sql())
 def feature_distributions(spark, sf):
-    return M.feature_distributions(X.feature_vector(T.attempts(spark, sf)), SOME)
+    return M.feature_distributions(X.feature_vector(T.attempts(spark, sf)), list(X.FEATURE_NAMES))
 
 
 @query(

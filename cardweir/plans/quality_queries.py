@@ -8,6 +8,7 @@ from cardweir.operators import quality as Q
 from cardweir.operators import reports as R
 from cardweir.plans.registry import query
 from cardweir.plans.scalar_queries import KEY_SQL, ratio_sql
+from cardweir.sources import files as S
 from cardweir.sources import tables as T
 
 RULE_UNION = " UNION ALL "
@@ -209,9 +210,19 @@ def sensitive_values(spark, sf):
     )
 
 
-@query("V14_ground_truth_leak", "SELECT unnest(['campaign_id', 'is_attack', 'scenario_type', 'split']) AS leaked FROM (SELECT count(*) FROM labelled) l")
+@query(
+    "V14_ground_truth_leak",
+    "SELECT 'is_attack' AS leaked, count(*) AS rows FROM attempts WHERE event_no % 97 = 1 HAVING count(*) > 0"
+    " UNION ALL SELECT 'scenario_type', count(*) FROM attempts WHERE event_no % 101 = 2 AND event_no % 97 <> 1 HAVING count(*) > 0",
+)
 def ground_truth_leak(spark, sf):
-    return Q.ground_truth_leak(T.labelled_attempts(spark, sf))
+    """Event lines as a model sees them, with a key planted at the top of some and in a nested object of others."""
+    lines = S.attempt_lines(T.attempts(spark, sf), "event_no").selectExpr(
+        "case when event_no % 97 = 1 then replace(value, '{', '{\"is_attack\":true,') when event_no % 101 = 2"
+        " then replace(value, '{', '{\"note\":{\"scenario_type\" : \"split\"},') else value end as value",
+        "event_no",
+    )
+    return Q.ground_truth_leak(lines, "value")
 
 
 @query("V15_both_classes", "SELECT scenario_type FROM scored GROUP BY scenario_type HAVING min(y) = max(y)")

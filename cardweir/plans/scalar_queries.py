@@ -11,7 +11,7 @@ from cardweir.operators import joins as J
 from cardweir.operators import ordering as O
 from cardweir.operators import policy as P
 from cardweir.plans.registry import query
-from cardweir.plans.rolling_queries import CURRENT_SQL
+from cardweir.session import materialise
 from cardweir.sources import tables as T
 
 A = "attempts"
@@ -307,10 +307,18 @@ def allowlist(spark, sf):
     )
 
 
-@query("J1_join_labels", f"SELECT event_id, {CURRENT_SQL}, split, is_attack, campaign_id FROM attempts JOIN (SELECT event_id, split, is_attack, campaign_id FROM labels_v) l USING (event_id)")
+def full_width_sql() -> str:
+    from cardweir.operators.rolling import FAMILIES
+    from cardweir.plans.rolling_queries import ALL_SQL
+
+    joined = " ".join(f"JOIN {f.name} USING (event_id)" for f in FAMILIES)
+    return f"{ALL_SQL} SELECT cur.* EXCLUDE (occurred_at_ms), " + ", ".join(f"{f.name}.* EXCLUDE (event_id)" for f in FAMILIES) + f", split, is_attack, campaign_id FROM cur {joined} JOIN (SELECT event_id, split, is_attack, campaign_id FROM labels_v) l USING (event_id)"
+
+
+@query("J1_join_labels", full_width_sql())
 def join_labels(spark, sf):
     labels = T.labels(spark, sf).select("event_id", "split", "is_attack", "campaign_id")
-    return J.join_labels(E.current_features(T.attempts(spark, sf)), labels)
+    return J.join_labels(E.feature_vector(T.attempts(spark, sf)).drop("occurred_at_ms"), labels)
 
 
 HALVES = """l AS (SELECT event_id FROM attempts WHERE channel <> 'web' UNION ALL SELECT event_id FROM attempts WHERE outcome = 'failed' AND channel <> 'web'),
@@ -347,11 +355,12 @@ def lookup_labels(spark, sf):
 FROM attempts WHERE (channel = 'web' AND outcome = 'failed') OR (NOT (channel = 'web' AND outcome = 'failed') AND amount_subunits % 10 = 3)""",
 )
 def compare_features(spark, sf):
-    expected = E.current_features(T.attempts(spark, sf))
-    actual = E.current_features(T.attempts(spark, sf).filter("not (channel = 'web' and outcome = 'failed')")).withColumn(
+    expected = materialise(E.feature_vector(T.attempts(spark, sf)), "expected-features")
+    present = T.attempts(spark, sf).filter("not (channel = 'web' and outcome = 'failed')").select("event_id")
+    actual = expected.join(present, "event_id", "left_semi").withColumn(
         "utc_hour", F.expr("if(amount_subunits % 10 = 3, utc_hour + 1, utc_hour)")
     )
-    return J.compare_rows(actual, expected, list(E.CURRENT_FEATURES))
+    return J.compare_rows(actual, expected, list(E.FEATURE_NAMES))
 
 
 @query(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -47,19 +50,56 @@ _LOCAL_SHARED: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test) is a fresh temporary folder used.
+    Only a session on a local master may do without that setting: all its tasks share one machine, and a
+    fresh temporary folder is used, deleted at exit. Elsewhere each executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL_SHARED:
         _LOCAL_SHARED["dir"] = tempfile.mkdtemp(prefix="cardweir-")
+        atexit.register(shutil.rmtree, _LOCAL_SHARED["dir"], ignore_errors=True)
     return _LOCAL_SHARED["dir"]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def release_tables() -> None:
+    """Delete the tables written by this process; its lazy results can't be read afterwards."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended: nothing can be reached any more
+            return
+
+
+atexit.register(release_tables)
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is written there goes when the process ends."""
+    path = _new_path(spark, label)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def _new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "cardweir", f"{label}-{uuid.uuid4().hex}")
 
 

@@ -35,15 +35,17 @@ def test_screening_order_and_reasons(spark):
         call(4, good, signature="0" * 64), call(5, good, provider_event_id=None), call(6, body(entity="thing")),
         call(7, body(payment={"amount": -1})), call(8, body(payment={"amount": "500"})), call(9, "not json"),
         call(10, body(event="refund.created", payment={"amount": "x"})), call(11, good, signature=sign(good).upper()),
-        call(12, body(contains=["x"] * 21)), call(13, body(account_id="bad id")), call(14, good + " " * 70_000),
-        call(15, body(payload=[1])), call(16, body(created_at=True)), call(17, body(payment={"error_code": ""})),
+        call(12, body(contains=["x"] * 21)), call(13, body(account_id="bad id")), call(14, good + " " * 270_000),
+        call(18, good + " " * 100_000), call(19, body(payment={"amount": "5x"})), call(20, body(created_at="1700000001.0", payment={"amount": 500.0})),
+        call(21, body(payment={"amount": 500.5})), call(15, body(payload=[1])), call(16, body(created_at=True)), call(17, body(payment={"error_code": ""})),
     ]
     got = {r.call_no: r.reject_reason for r in H.screen(spark.createDataFrame(rows, LANDING_SCHEMA), KEY).collect()}
     assert got == {
         1: None, 2: "unsupported_content_type", 3: "missing_signature", 4: "invalid_signature", 5: "invalid_event_id",
-        6: "invalid_webhook_envelope", 7: "invalid_payment_payload", 8: "invalid_payment_payload",
+        6: "invalid_webhook_envelope", 7: "invalid_payment_payload", 8: None,
         9: "invalid_webhook_envelope", 10: None, 11: None, 12: "invalid_webhook_envelope", 13: "invalid_webhook_envelope",
         14: "request_too_large", 15: "invalid_webhook_envelope", 16: "invalid_webhook_envelope", 17: None,
+        18: None, 19: "invalid_payment_payload", 20: None, 21: "invalid_payment_payload",
     }
 
 
