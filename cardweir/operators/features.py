@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,25 +91,6 @@ def feature_vector(df: DataFrame, slicing: Slicing | None = Slicing()) -> DataFr
     return rolling_features(prepared, spec).select("event_id", "occurred_at_ms", *FEATURE_NAMES)
 
 
-def rolling_subset(df: DataFrame, *, counts: bool, failures: bool, distinct: tuple[str, ...] = ()):
-    """Only the named part of the rolling columns; what is not asked for is not computed."""
-    families = []
-    for f in FAMILIES:
-        if f is CHECKOUT:
-            continue
-        if distinct and f.name not in distinct:
-            continue
-        families.append(replace(f, failures=failures, distinct=f.distinct if distinct else ()))
-    out = rolling_features(df, RollingSpec(tuple(families)))
-    keep = ["event_id"]
-    for c in out.columns:
-        if distinct:
-            keep += [c] if "_distinct_" in c else []
-        elif (counts and "_attempt_count_" in c) or (failures and not counts and "_failure_count_" in c):
-            keep.append(c)
-    return out.select(*keep)
-
-
 def feature_violations(features: DataFrame) -> DataFrame:
     """(event_id, rule) for each broken invariant; empty on sound features. One pass, no shuffle."""
     c = F.col

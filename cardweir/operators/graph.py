@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardweir.operators.joins import join_on_entity
 from cardweir.operators.ledger import GRAPH_KINDS, entity_rows, since_window
-from cardweir.session import materialise
+from cardweir.session import discard, materialise
 
 
 def window_decisions(ledger: DataFrame, now_ms, seconds: int = 3_600) -> DataFrame:
@@ -104,7 +104,8 @@ def clusters(decisions: DataFrame) -> DataFrame:
     links = materialise(links, "cluster-links")
     previous = None
     while True:
-        links = materialise(_small_star(_large_star(links)), "cluster-links")
+        before, links = links, materialise(_small_star(_large_star(links)), "cluster-links")
+        discard(before)
         state = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()

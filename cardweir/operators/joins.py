@@ -97,19 +97,18 @@ def overlap(left: DataFrame, right: DataFrame, column: str = "event_id") -> Data
 def assign_bin(df: DataFrame, bins: DataFrame, p: str = "p") -> DataFrame:
     """The reference bin of each probability; the last bin is closed, values clamp to [0, 1].
 
-    ``bins`` is a reference of a fixed number of bins (ten), so it is broadcast.
+    ``bins`` is a reference of a fixed number of bins (ten): its edges become one array, and each row
+    looks its bin up in it. Rows without a probability or a bin are left out.
     """
     value = F.greatest(F.least(F.col(p).cast("double"), F.lit(1.0)), F.lit(0.0))
-    edges = F.broadcast(bins.select("bin", "lower_inclusive", "upper_value", "upper_inclusive"))
-    inside = (F.col("lower_inclusive") <= F.col("_v")) & (
-        (F.col("_v") < F.col("upper_value"))
-        | (F.col("upper_inclusive") & (F.col("_v") <= F.col("upper_value")))
-    )
-    return (
-        df.withColumn("_v", value)
-        .join(edges, inside)
-        .drop("_v", "lower_inclusive", "upper_value", "upper_inclusive")
+    edges = bins.agg(F.collect_list(F.struct("bin", "lower_inclusive", "upper_value", "upper_inclusive"))).scalar()
+    own = F.filter(
+        "_edges",
+        lambda e: (e["lower_inclusive"] <= F.col("_v"))
+        & ((F.col("_v") < e["upper_value"]) | (e["upper_inclusive"] & (F.col("_v") <= e["upper_value"]))),
     )
+    placed = df.withColumns({"_v": value, "_edges": edges}).filter(F.col(p).isNotNull())
+    return placed.withColumn("bin", F.get(own, F.lit(0))["bin"]).filter("bin is not null").drop("_v", "_edges")
 
 
 def join_on_entity(

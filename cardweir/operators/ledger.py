@@ -143,7 +143,8 @@ def entity_context(df: DataFrame, exclude_self: bool) -> DataFrame:
             F.expr("min(if(id = low_id, null, anchor_ms))").alias("low2"),
             F.expr("max(if(id = high_id, null, anchor_ms))").alias("high2"),
         )
-        totals = totals.join(second, ["kind", "token"])
+        # joined below in parts that each read it
+        totals = materialise(totals.join(second, ["kind", "token"]), "entity-totals")
     joined = join_on_entity(rows, totals, ["kind", "token"], "n")
     if exclude_self:
         joined = joined.selectExpr(

@@ -285,7 +285,7 @@ def rolling_features(df: DataFrame, spec: RollingSpec) -> DataFrame:
     if pairs:
         base = base.join(_pair_gaps(df, spec, hot), "id", "left")
 
-    # One row per family; the first family never lacks its key and takes the carried columns along.
+    # One row per family; an attempt's first family with a key takes the carried columns along.
     entries = []
     for f, family in enumerate(spec.families):
         age = "bigint(null)"
@@ -296,9 +296,11 @@ def rolling_features(df: DataFrame, spec: RollingSpec) -> DataFrame:
             f"'starts', {_run_mask(spec, family, 'back')}, 'ends', {_run_mask(spec, family, 'ahead')}, "
             f"'age', {age}"
         )
-    deltas = base.selectExpr("id", "t", "failed", *carry, _structs(entries)).filter("key is not null")
+    keys = [family.key for family in spec.families]
+    first = "coalesce(" + ", ".join(f"if({k} is not null, {f}Y, null)" for f, k in enumerate(keys)) + ") as first_fam"
+    deltas = base.selectExpr("id", "t", "failed", *carry, first, _structs(entries)).filter("key is not null")
     if carry:
-        deltas = deltas.withColumns({c: F.expr(f"if(fam = 0Y, {c}, null)") for c in carry})
+        deltas = deltas.withColumns({c: F.expr(f"if(fam = first_fam, {c}, null)") for c in carry})
 
     group = ["fam", "key"]
     if hot is not None:
@@ -383,4 +385,10 @@ def rolling_features(df: DataFrame, spec: RollingSpec) -> DataFrame:
         *[F.expr(f"max({c}) as {c}") for c in carry],
         *[F.expr(e) for e in outputs],
     )
+    # An attempt without any of the keys has no history.
+    names = [e.rsplit(" as ", 1)[1] for e in outputs]
+    alone = df.filter(" and ".join(f"{k} is null" for k in dict.fromkeys(keys))).selectExpr(
+        f"{spec.event_id} as id", spec.time_ms, *carry, *[f"0L as {n}" for n in names]
+    )
+    result = result.unionByName(alone)
     return result.withColumnRenamed("id", spec.event_id).selectExpr("*", *derived)

@@ -95,11 +95,9 @@ def _distinct(family):
         from dataclasses import replace
 
         spec = RollingSpec((replace(family, failures=False),))
-        out = rolling_features(T.attempts(spark, sf), spec).select(
+        return rolling_features(T.attempts(spark, sf), spec).select(
             "event_id", *[f"{family.name}_distinct_{p}_{w}s" for w in family.windows for p, _ in family.distinct]
         )
-        # An attempt without this entity has no rows in its family: its counts are zero.
-        return T.attempts(spark, sf).select("event_id").join(out, "event_id", "left").fillna(0)
 
     return run
 

@@ -113,4 +113,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more."""
+    path = getattr(table, "_written_at", None)
+    if path is not None:
+        delete_path(table.sparkSession, path)
