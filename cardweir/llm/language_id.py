@@ -200,7 +200,11 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from a bounded sample of the documents that are not held out."""
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = usable.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    rank = F.xxhash64("doc_id")
+    # first the hashes alone, then the texts below the last of them
+    least = usable.select(rank.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
+    rows = usable.filter(rank <= least).select("doc_id", "text", "lang").limit(sample).collect() if least is not None else []
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
