@@ -131,10 +131,11 @@ def retry_chain_violations(df: DataFrame, bounds: RetryBounds = RetryBounds()) -
     return rules.unionByName(gaps).unionByName(shared).unionByName(missing)
 
 
-def campaign_integrity(df: DataFrame, profiles: dict[str, str]) -> DataFrame:
+def campaign_integrity(df: DataFrame, profiles: dict[str, str], quotas: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """(split, campaign_id, rule) for attacks without a campaign and campaigns that do not hold together.
 
-    Spans and identities are read off a minimum and a maximum, which combine map-side.
+    Spans and identities are read off a minimum and a maximum, which combine map-side. ``quotas`` has the
+    configured campaigns and attacks of each split; a split that misses them is named without a campaign.
     """
     attacks = df.filter("is_attack")
     expected = F.create_map(*[F.lit(x) for pair in profiles.items() for x in pair])
@@ -144,7 +145,7 @@ def campaign_integrity(df: DataFrame, profiles: dict[str, str]) -> DataFrame:
         F.expr("count_if(scenario_instance_id is null) > 0 or min(scenario_instance_id) <> max(scenario_instance_id)").alias("mixed"),
         F.max(~F.col("campaign_profile").eqNullSafe(expected[F.col("split")])).alias("profile"),
     )
-    return grouped.select(
+    found = grouped.select(
         "split", "campaign_id",
         F.explode(F.array_compact(F.array(
             F.expr("if(campaign_id is null, 'campaign_id_missing', null)"),
@@ -153,6 +154,19 @@ def campaign_integrity(df: DataFrame, profiles: dict[str, str]) -> DataFrame:
             F.expr("if(mixed, 'scenario_identity_mismatch', null)"),
         ))).alias("rule"),
     )
+    if quotas is None:
+        return found
+    wanted = df.sparkSession.createDataFrame([(s, *q) for s, q in quotas.items()], "split string, campaigns long, attacks long")
+    counts = grouped.groupBy("split").agg(F.count("campaign_id").alias("have"), F.sum("n").alias("rows"))
+    # One row per split on either side.
+    missed = wanted.join(F.broadcast(counts), "split", "left").select(
+        "split", F.lit(None).cast("string").alias("campaign_id"),
+        F.explode(F.array_compact(F.array(
+            F.expr("if(coalesce(have, 0) <> campaigns, 'campaign_count_mismatch', null)"),
+            F.expr("if(coalesce(rows, 0) <> attacks, 'campaign_event_quota_mismatch', null)"),
+        ))).alias("rule"),
+    )
+    return found.unionByName(missed)
 
 
 def campaign_envelopes(df: DataFrame) -> DataFrame:
@@ -170,12 +184,18 @@ def campaign_gaps(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def campaign_placement(df: DataFrame, split: str, start_ms: int, end_ms: int, rule: Placement = Placement()) -> DataFrame:
-    """(campaign_id, rule) around a protected boundary; split-wide findings have no campaign id."""
+def campaign_placement(
+    df: DataFrame, split: str, start_ms: int, end_ms: int, rule: Placement = Placement(), attacks: int | None = None
+) -> DataFrame:
+    """(campaign_id, rule) around a protected boundary; split-wide findings have no campaign id.
+
+    ``attacks`` is the split's configured number, shared equally by its campaigns; without it the
+    attacks that are there are.
+    """
     boundary = start_ms + (end_ms - start_ms) * rule.boundary_bp // 10_000
     envelopes = campaign_envelopes(df.filter(F.col("split") == split))
     gaps = campaign_gaps(envelopes)
-    total = envelopes.agg(F.expr("sum(n) div count(1)").alias("n")).scalar()
+    total = envelopes.agg(F.expr(f"{'sum(n)' if attacks is None else f'{attacks}L'} div count(1)").alias("n")).scalar()
     per_campaign = gaps.withColumn("expected", total).select(
         "campaign_id",
         F.explode(F.array_compact(F.array(

@@ -99,20 +99,25 @@ g AS (SELECT split, campaign_id, count(*) AS n, min(merchant_id) <> max(merchant
 SELECT split, campaign_id, 'campaign_id_missing' AS rule FROM g WHERE campaign_id IS NULL
 UNION ALL SELECT split, campaign_id, 'campaign_profile_mismatch' FROM g WHERE profile
 UNION ALL SELECT split, campaign_id, 'merchant_span_invalid' FROM g WHERE n >= 2 AND NOT spans
-UNION ALL SELECT split, campaign_id, 'scenario_identity_mismatch' FROM g WHERE mixed""",
+UNION ALL SELECT split, campaign_id, 'scenario_identity_mismatch' FROM g WHERE mixed
+UNION ALL SELECT split, NULL, unnest(list_filter([CASE WHEN coalesce(have, 0) <> campaigns THEN 'campaign_count_mismatch' END,
+  CASE WHEN coalesce(r, 0) <> attacks THEN 'campaign_event_quota_mismatch' END], lambda x: x IS NOT NULL))
+FROM (VALUES ('train', 10, 300), ('calibration', 10, 34), ('holdout', 3, 60)) q(split, campaigns, attacks)
+LEFT JOIN (SELECT split, count(campaign_id) AS have, sum(n) AS r FROM g GROUP BY 1) h USING (split)""",
 )
 def campaign_integrity(spark, sf):
     broken = T.labelled_attempts(spark, sf).withColumn(
         "campaign_id", F.expr("if(amount_subunits % 11 = 0, null, campaign_id)")
     )
-    return Q.campaign_integrity(broken, {s: "baseline_reuse" for s in T.SPLITS})
+    quotas = {"train": (10, 300), "calibration": (10, 34), "holdout": (3, 60)}
+    return Q.campaign_integrity(broken, {s: "baseline_reuse" for s in T.SPLITS}, quotas)
 
 
 @query(
     "V7_campaign_placement",
     f"""WITH e AS (SELECT campaign_id, count(*) AS n, min(occurred_at_ms) AS f, max(occurred_at_ms) AS l FROM labelled
   WHERE is_attack AND split = 'train' GROUP BY 1),
-g AS (SELECT *, f - lag(l) OVER (ORDER BY f, l, campaign_id) AS gap, (SELECT sum(n) // count(*) FROM e) AS x,
+g AS (SELECT *, f - lag(l) OVER (ORDER BY f, l, campaign_id) AS gap, (SELECT 300 // count(*) FROM e) AS x,
   {T.START_MS + 28_800_000 * 6000 // 10_000} AS b FROM e)
 SELECT campaign_id, 'quota_not_equal' AS rule FROM g WHERE n <> x
 UNION ALL SELECT campaign_id, 'crosses_protected_boundary' FROM g WHERE f < b AND l >= b
@@ -122,7 +127,7 @@ UNION ALL SELECT NULL, 'missing_after_boundary' FROM g HAVING count(*) FILTER (W
 UNION ALL SELECT NULL, 'not_irregular' FROM g HAVING count(gap) > 1 AND min(gap) = max(gap)""",
 )
 def campaign_placement(spark, sf):
-    return Q.campaign_placement(T.labelled_attempts(spark, sf), "train", T.START_MS, T.TRAIN_END_MS)
+    return Q.campaign_placement(T.labelled_attempts(spark, sf), "train", T.START_MS, T.TRAIN_END_MS, attacks=300)
 
 
 BOUNDARY = T.TRAIN_END_MS + (T.CALIBRATION_END_MS - T.TRAIN_END_MS) * 6000 // 10_000
