@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cardweir.session import new_table_path
 
 #: Bytes of text that are hashed at once; longer documents are taken alone.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 _HASH_SPAN = 1 << 20
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces of text whose ids a worker remembers, and the longest such piece.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 60
+REMEMBERED, REMEMBERED_CHARS = 150_000, 60
 #: Marks that end words, which the vocabulary's pattern never joins to letters.
 _MARKS = ".,;:!?#$%&*|"
 _TOGETHER = 1000
