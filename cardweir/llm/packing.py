@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardweir.llm.common import Scratch, column, slices
-from cardweir.llm.tokens import encode_column, tokenizer_path
+from cardweir.llm.tokens import REMEMBERED, encode_column, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,7 +34,7 @@ MOST_BUCKETS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of each document; ``ids`` (little-endian unsigned 32-bit) on request."""
     end = end_id.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[list] = [[] for _ in names]
-                for doc_id, ids in zip(column(part, "doc_id").to_pylist(), encode_column(column(part, "text"), path), strict=True):
+                for doc_id, ids in zip(column(part, "doc_id").to_pylist(), encode_column(column(part, "text"), path, remembered), strict=True):
                     ids += end
                     n = len(ids) // 4
                     at = 0
@@ -138,5 +138,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*pieces.columns, sequence.alias("sequence_id"), offset.alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return pack(token_pieces(docs, path or tokenizer_path()))
+def pack_documents(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """``remembered``: pieces of text whose ids each worker keeps, memory for time."""
+    return pack(token_pieces(docs, path or tokenizer_path(), remembered=remembered))

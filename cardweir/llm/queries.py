@@ -148,8 +148,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.packing import pack_documents
+    from cardweir.llm.tokens import MANY
 
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), remembered=MANY)
 
 
 @query("op5_token_files")

@@ -1,13 +1,13 @@
 """Operator 5: token ids of documents in binary files of independent zstandard frames.
 
-One file (all numbers little-endian):
+One file (numbers little-endian unless said otherwise):
 
     frames        each a zstandard frame of the ids (uint32) of some documents, with zstandard's content
                   checksum; frames do not depend on each other
     index frame   zstandard frame with doc_id (int64) and id count (uint32) of each document, in order
     seek table    skippable frame (magic 0x184D2A5E, uint32 size) of
-                    a row for each frame: compressed size, raw size, documents (3 x uint32), first 8
-                    bytes of the SHA-256 of the raw bytes
+                    a row for each frame: compressed size, raw size, documents (3 x uint32), XXH64 of
+                    the raw bytes (8 bytes, big-endian)
                     the index frame's row, alike
                     uint32 rows, uint64 place of the file among those of its writer, 8 bytes "TOKSEEK\\n"
 
@@ -25,19 +25,19 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardweir.llm.common import column, slices
-from cardweir.llm.tokens import encode_column, tokenizer_path
+from cardweir.llm.tokens import MANY, encode_column, tokenizer_path
 from cardweir.session import new_table_path
 
 END_ID = 2
@@ -52,7 +52,7 @@ _END = struct.Struct("<IQ8s")
 
 
 def _row(raw: bytes, packed: bytes, documents: int) -> bytes:
-    return _ROW.pack(len(packed), len(raw), documents, hashlib.sha256(raw).digest()[:8])
+    return _ROW.pack(len(packed), len(raw), documents, xxhash.xxh64_digest(raw))
 
 
 class FileWriter:
@@ -66,7 +66,7 @@ class FileWriter:
         self.counts: list[int] = []
         self.held: list[bytes] = []
         self.held_ids = 0
-        self.zstd = zstandard.ZstdCompressor(level=3, write_checksum=True)
+        self.zstd = zstandard.ZstdCompressor(level=1, write_checksum=True)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.doc_ids.append(NO_ID if doc_id is None else doc_id)
@@ -116,7 +116,7 @@ class FileReader:
     def frame(self, i: int) -> bytes:
         size, raw_size, _, digest = self.rows[i]
         raw = self.zstd.decompress(self.data[self.starts[i] : self.starts[i] + size], max_output_size=raw_size)
-        if len(raw) != raw_size or hashlib.sha256(raw).digest()[:8] != digest:
+        if len(raw) != raw_size or xxhash.xxh64_digest(raw) != digest:
             raise ValueError(f"frame {i} does not fit its checksum")
         return raw
 
@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         writer, place = None, 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, ids in zip(column(part, "doc_id").to_pylist(), encode_column(column(part, "text"), path), strict=True):
+                for doc_id, ids in zip(column(part, "doc_id").to_pylist(), encode_column(column(part, "text"), path, MANY), strict=True):
                     writer = writer or FileWriter(place)
                     writer.add(doc_id, ids + end)
                     if writer.ids_written >= FILE_IDS:

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces of text whose ids a worker remembers, and the longest such piece.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 60
+#: Pieces of text whose ids a worker remembers, and the longest such piece. More memory saves time; ``MANY``
+#: is for jobs that do little besides.
+REMEMBERED, MANY, REMEMBERED_CHARS = 150_000, 600_000, 60
 #: Marks that end words, which the vocabulary's pattern never joins to letters.
 _MARKS = ".,;:!?#$%&*|"
 _TOGETHER = 1000
@@ -34,7 +35,8 @@ class Encoder:
     their own. Words recur, so most pieces are looked up. Texts with other spacing are cut at such spaces only.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -109,13 +111,13 @@ class Encoder:
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             for p in self.composed:
                 del known[p]
             self.composed = []
-            if len(known) > 0.9 * REMEMBERED:
+            if len(known) > 0.9 * self.remembered:
                 known.clear()
-        if len(self.bare) > REMEMBERED:
+        if len(self.bare) > self.remembered:
             self.bare = {"": b""}
         split = [(t or "").split(" ") for t in texts]
         new: set[str] = set()
@@ -150,5 +152,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_column(texts: pa.Array, path: str) -> list[bytes]:
-    return encoder(path).encode(texts.to_pylist())
+def encode_column(texts: pa.Array, path: str, remembered: int = REMEMBERED) -> list[bytes]:
+    own = encoder(path)
+    own.remembered = remembered
+    return own.encode(texts.to_pylist())
