@@ -4,8 +4,9 @@ Three base kinds are reported wherever they match: assignments, access identifie
 weak kinds, 40-character keys and endpoints, are common in clean text and count only next to their
 complement: a key in reach of an access identifier, an endpoint in reach of an identifier or an
 assignment. Reach is ``scope`` code points within one document. Identifiers are laid into every bin of
-``scope`` code points that they reach, weak candidates into the bin they start in; the equality join on
-(document, bin) and the distance test are the interval join, so no document pairs all its spans.
+``scope`` code points that they reach, weak candidates into every bin they touch, so two within reach
+share a bin; the equality join on (document, bin) and the distance test are the interval join, and no
+document pairs all its spans.
 
 Everything is DataFrame functions: positions come from running sums over the lengths of matches and
 of the gaps between them.
@@ -84,11 +85,13 @@ def _linked(spans: DataFrame, scope: int) -> DataFrame:
     strong = spans.filter(F.col("kind").isin("access", "assign")).select(
         F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("kind").alias("by"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(reach).alias("bin")
     )
-    weak = spans.filter(F.col("kind").isin("key", "endpoint")).withColumn("own_bin", F.floor(F.col("start") / scope))
+    touched = F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))
+    weak = spans.filter(F.col("kind").isin("key", "endpoint")).withColumn("own_bin", F.explode(touched))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("own_bin") == F.col("bin"))
     near = (F.col("start") <= F.col("e") + scope) & (F.col("end") >= F.col("s") - scope)
     fits = (F.col("by") == "access") | (F.col("kind") == "endpoint")
-    return weak.join(strong, on & near & fits, "left_semi").drop("own_bin")
+    # a span is linked in several bins, and spans are distinct
+    return weak.join(strong, on & near & fits, "left_semi").drop("own_bin").distinct()
 
 
 def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

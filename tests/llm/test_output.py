@@ -170,6 +170,17 @@ def test_secrets_against_brute_force(spark, frame):
     assert secrets.scan(frame([]).limit(0)).count() == 0
 
 
+def test_secrets_link_weak_spans_before_strong_ones(frame):
+    access, key = "AKIA" + "A1B2" * 4, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = [" " * 770 + key + " " * 390 + access]
+    texts += [" " * at + key + " " * gap + strong for at in (355, 361, 399, 770) for gap in (359, 361, 380, 399, 400, 401) for strong in (access, "token=abcdefgh")]
+    texts += [" " * at + "https://" + "u" * n + " " * gap + strong for at in (0, 390) for n in (300, 600, 1100, 2500) for gap in (1, 399, 400, 401) for strong in (access, "token=abcdefgh")]
+    rows = list(enumerate(texts))
+    want = sorted((d, *brute_spans(t)) for d, t in rows)
+    assert sum("key" in r[5] or "endpoint" in r[5] for r in want) > 60
+    assert sorted(tuple(r) for r in secrets.scan(frame(rows)).collect()) == want
+
+
 def test_redaction(frame):
     rows = [(i, t) for i, t in enumerate(secret_rows())] + [(None, "token: abcdefgh"), (1, "token: abcdefgh")]
     docs = frame(rows)
