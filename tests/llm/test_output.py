@@ -228,6 +228,31 @@ def test_search_against_brute_force(spark, frame, prose, monkeypatch):
     assert topk_search.search_all(frame([]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_terms", [500, 2000, 6000])
+def test_search_of_long_queries_with_near_copies(n_terms):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(n_terms)
+    words = np.array([f"w{i}" for i in range(n_terms)])
+    copies = [np.delete(words, i) for i in range(90)]  # near copies lack one word each
+    texts = [" ".join(rng.permutation(c)) for c in copies] + [" ".join(rng.choice(words, n_terms // 10, replace=False)) for _ in range(60)]
+    shard = topk_search.Shard(np.arange(len(texts)), pa.array(texts), 10**7, float(n_terms))
+    assert (shard.column >= 0).sum() == n_terms  # all are common
+    _, term, _, _ = topk_search._terms(pa.array([" ".join(words)]))
+    weight = dict.fromkeys(term.tolist(), 0.0)
+    for i in range(n_terms):
+        weight[int(topk_search._terms(pa.array([words[i]]))[1][0])] = 3 + (i * 37 % 90) * 1e-5 if i < 90 else float(rng.uniform(1, 12))
+    weights = np.array([weight[t] for t in term.tolist()])
+    exact = []
+    for d in range(len(texts)):
+        own = slice(shard.own[d], shard.own[d + 1])
+        exact.append(round(math.fsum(weight[int(t)] * x for t, x in zip(shard.vocabulary[shard.code[own]], shard.impact[own], strict=True)), 6))
+    want = sorted(range(len(texts)), key=lambda d: (-exact[d], d))[:10]
+    found, score = shard.search(term, weights, 10)
+    assert found.tolist() == want and np.allclose(score, [exact[d] for d in want], atol=2e-6, rtol=0)
+
+
 def test_pipeline_against_its_parts(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
