@@ -21,7 +21,9 @@ digests of sets: two different sets meet with a chance of about 1e-2 at 1e9 diff
 
 Defined cases: a null, empty or blank text has an empty set, n_shingles 0, and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle. Repeated rows and equal texts are
-linked; rows that share a doc_id count as one node. Empty tables give empty results. Extra columns are ignored.
+linked; rows that share a doc_id count as one node, whatever their texts. Rows without a doc_id are linked by
+their texts; a component's id is its smallest doc_id, null where none of its rows has one. Empty tables give
+empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardweir.llm.common import Block, Hasher, Scratch, column, mix64, slices
@@ -132,7 +134,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(rank: np.ndarray, parts: np.ndarray):
-    """doc_id, n, class, group and prefix of each document, given the order's classes of rarity."""
+    """doc_id, key, n, class, group and prefix of each document, given the order's classes of rarity."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - SKETCH_BITS)
@@ -159,8 +161,8 @@ def _prefixes(rank: np.ndarray, parts: np.ndarray):
                 flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
                 ends = np.cumsum([0] + [0 if p is None else len(p) for p in prefixes]).astype(np.int32)
                 yield pa.record_batch(
-                    [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc_id", "n", "cls", "grp", "prefix"],
+                    [ids.cast(pa.int64()), column(part, "key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    ["doc_id", "key", "n", "cls", "grp", "prefix"],
                 )
 
     return of
@@ -208,9 +210,9 @@ def _near_in_size(a: str, b: str) -> str:
 
 
 def _may_pass(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Documents whose id may be among ``wanted``, by a bit table of fixed size; others never are."""
+    """Documents whose key may be among ``wanted``, by a bit table of fixed size; others never are."""
     words = 1 << (FILTER_BITS - 6)
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))
     bits = wanted.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
     table = np.zeros(words, np.uint64)
     rows = bits.collect()  # 2^18 rows at most
@@ -274,13 +276,14 @@ class _Join:
     def __init__(self, docs: DataFrame) -> None:
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "jaccard")
-        self.docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        # the key finds a row's text again: the doc_id, or a hash of the text
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), _text_key()).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
         sketch = shingle_sketch(self.docs)
         rank = np.floor(4 * np.log2(sketch + 1)).astype(np.int16)
         parts = np.clip((sketch - 2 * int(np.median(sketch))) // PART_ROWS, 1, 254).astype(np.uint64)
-        self.rows = self.scratch.write(self.docs.mapInArrow(_prefixes(rank, parts), "doc_id long, n long, cls long, grp long, prefix array<long>"), "rows")
+        self.rows = self.scratch.write(self.docs.mapInArrow(_prefixes(rank, parts), "doc_id long, key long, n long, cls long, grp long, prefix array<long>"), "rows")
         full = self.rows.filter("cls is not null")
-        self.classes = self.scratch.write(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp")), "classes")
+        self.classes = self.scratch.write(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.first("n").alias("n"), F.first("grp").alias("grp")), "classes")
 
     def index(self) -> DataFrame:
         """(token, grp, n, lead, lead_n) of all shingles that two or more groups have in their prefixes."""
@@ -292,9 +295,9 @@ class _Join:
     def with_text(self, rows: DataFrame, *keys: str) -> DataFrame:
         """``rows`` with the text of the class in each of the columns ``keys``; only texts that rows name are dealt."""
         named = rows.select(F.explode(F.array(*keys)).alias("cls")).distinct()
-        wanted = self.scratch.write(self.classes.join(named, "cls", "left_semi").select("cls", "doc_id"), "wanted")
-        texts = _may_pass(self.docs, wanted).join(wanted, "doc_id").select("doc_id", "cls", "text")
-        # a doc_id may stand on several texts: take the one that makes the class
+        wanted = self.scratch.write(self.classes.join(named, "cls", "left_semi").select("cls", "key"), "wanted")
+        texts = _may_pass(self.docs, wanted).join(wanted, "key").select("key", "cls", "text")
+        # a key may stand on several texts: take the one that makes the class
         texts = texts.mapInArrow(_of_class, "cls long, text string").dropDuplicates(["cls"])
         if len(keys) > 1:
             texts = self.scratch.write(texts, "texts")
@@ -307,8 +310,14 @@ class _Join:
         pairs = self.scratch.write(pairs, "pairs")
         return self.with_text(pairs, "a", "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
+    def same_id(self) -> DataFrame:
+        """Links (a, b) between the classes of one doc_id."""
+        own = self.rows.filter("cls is not null and doc_id is not null").select("doc_id", "cls")
+        several = own.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a <> z").select("doc_id", "a")
+        return own.join(several, "doc_id").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+
     def run(self) -> DataFrame:
-        """(cls, comp_doc) of all classes; comp_doc: the smallest doc_id of its component."""
+        """(cls, comp, comp_doc) of all classes; comp_doc: the smallest doc_id of the component, if it has one."""
         scratch = self.scratch
         runs = scratch.write(self.index(), "runs")
         shared = scratch.write(runs.groupBy("grp").agg(F.count(F.lit(1)).alias("shared")), "shared")
@@ -326,7 +335,7 @@ class _Join:
         )
         pairs = best.join(rep.withColumnRenamed("cls", "a"), "grp").join(rep.select(F.col("grp").alias("lead"), F.col("cls").alias("b")), "lead").select("a", "b")
         pairs = pairs.union(together.filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")))
-        links = scratch.write(self.links(pairs.filter("a <> b").distinct()), "links")
+        links = scratch.write(self.links(pairs.filter("a <> b").distinct()).union(self.same_id()), "links")
         label = components(links, scratch)
 
         for last in (False, True):
@@ -347,7 +356,7 @@ class _Join:
             scratch.drop(open_, named)
         named = self.classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
         low = named.groupBy("comp").agg(F.min("doc_id").alias("comp_doc"))
-        out = scratch.write(named.join(low, "comp").select("cls", "comp_doc"), "result")
+        out = scratch.write(named.join(low, "comp").select("cls", "comp", "comp_doc"), "result")
         scratch.drop(runs, shared, member, links)
         return out
 
@@ -411,19 +420,39 @@ def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([column(part, "cls"), column(part, "text")], ["cls", "text"]).take(pa.array(keep, pa.int32()))
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, comp, comp_doc) of each row; an empty set has no comp, and the comp_doc of its doc_id."""
+    join = _Join(docs)
+    linked = join.rows.select("doc_id", "key", "n", "cls").join(join.run(), "cls", "left").select("doc_id", "key", "n", "comp", "comp_doc")
+    full, empty = linked.filter("comp is not null"), linked.filter("comp is null")
+    # other rows of an empty one's doc_id may have texts
+    own = full.filter("doc_id is not null").join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("comp_doc").alias("own"))
+    empty = empty.join(own, "doc_id", "left").select("doc_id", "key", "n", "comp", F.coalesce("own", "doc_id").alias("comp_doc"))
+    return join.scratch.write(full.unionByName(empty), "labelled")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
-    join = _Join(docs)
-    linked = join.rows.select("doc_id", "n", "cls").join(join.run(), "cls", "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp_doc", "doc_id").alias("component_id"))
+    return _labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp_doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with its own columns; rows without a doc_id stay.
+    """One document of each component, that with the smallest doc_id, with its own columns.
 
-    Of several rows with that doc_id those with different texts stay, equal ones become one.
+    Of several rows with that doc_id those with different texts stay, equal ones become one. Of a component
+    without any doc_id one row stays, and of rows without doc_id all whose sets are empty, as nothing is linked with them.
     """
-    keep = near_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    label = _labelled(docs)
+    keep = label.filter("doc_id = comp_doc").select("doc_id").distinct()
     left = docs.join(keep, "doc_id", "left_semi").withColumn("_text_hash", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     left = left.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return left.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    nameless = label.filter("doc_id is null and comp_doc is null")
+    one = nameless.filter("comp is not null").groupBy("comp").agg(F.min("key").alias("_key")).select("_key")
+    empty = nameless.filter("comp is null").select(F.col("key").alias("_key")).distinct()
+    rest = docs.filter("doc_id is null").withColumn("_key", _text_key())
+    rest = rest.join(one, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(rest.join(empty, "_key", "left_semi"))
+    return left.select(docs.columns).unionByName(rest.select(docs.columns))

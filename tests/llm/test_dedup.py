@@ -133,3 +133,17 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     got = dict(components(df, Scratch(spark, "test")).collect())
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 130)}, 300: 300, 301: 300}
     assert components(df.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_rows_without_id_and_ids_on_several_texts(frame, prose):
+    one, two, three, four = (prose(i, 50) for i in (1, 2, 3, 4))
+    rows = [(3, one), (5, one + " end"), (5, two), (9, two + " end"), (5, ""), (None, three), (None, three + " end"), (None, three)]
+    rows += [(12, four), (None, four), (None, ""), (None, None), (13, None), (-7, "apart"), (None, "two words")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_components(frame(rows)).collect()), key=str)
+    component = [3, 3, 3, 3, 3, None, None, None, 12, 12, None, None, 13, -7, None]
+    assert got == sorted(((d, len(shingles(t)), c) for (d, t), c in zip(rows, component, strict=True)), key=str)
+    left = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(frame(rows)).collect()), key=str)
+    chosen = [x for x in left if x[1] and x[1].startswith(three)]
+    assert len(chosen) == 1 and chosen[0][0] is None
+    want = [(3, one), (12, four), (None, ""), (None, None), (13, None), (-7, "apart"), (None, "two words"), *chosen]
+    assert left == sorted(want, key=str)
