@@ -217,3 +217,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cardweir.llm.topk_search import search_all
 
     return search_all(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cardweir.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
