@@ -52,14 +52,14 @@ def assume_authorized(df: DataFrame) -> DataFrame:
     )
 
 
-def preflight_to_event(df: DataFrame, occurred_at_ms: str = "assigned_at_ms") -> DataFrame:
+def preflight_to_event(df: DataFrame, occurred_at_ms: str = "assigned_at_ms", keep: tuple[str, ...] = ()) -> DataFrame:
     """A checkout request in the event schema: not yet attempted, so authorized by assumption."""
     kept = (
         "event_id", "merchant_id", "checkout_id", "customer_token", "device_token",
         "network_token", "session_token", "payment_instrument_token", "amount_subunits",
         "currency", "channel",
     )
-    return assume_authorized(df.select(*kept, F.col(occurred_at_ms).alias("occurred_at_ms")))
+    return assume_authorized(df.select(*kept, *keep, F.col(occurred_at_ms).alias("occurred_at_ms")))
 
 
 def feature_names() -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardweir.operators.ordering import nearest_ranks, running_totals
+from cardweir.operators.policy import scored_rows
 from cardweir.sources.tables import LEGITIMATE_SCENARIOS
 
 # Fixed value: the float64 epsilon the log loss clips with.
@@ -53,7 +54,7 @@ def threshold_metrics(
     df: DataFrame, threshold: float, false_positive_cost: int = 1, false_negative_cost: int = 25,
     by: tuple[str, ...] = (),
 ) -> DataFrame:
-    counts = confusion(df, "y", f"p >= {threshold!r}D", by)
+    counts = confusion(scored_rows(df), "y", f"p >= {threshold!r}D", by)
     return metrics_from_counts(
         counts.withColumn("threshold", F.lit(float(threshold))), false_positive_cost, false_negative_cost
     )
@@ -61,7 +62,7 @@ def threshold_metrics(
 
 def score_histogram(df: DataFrame) -> DataFrame:
     """(p, attacks, legitimate) per distinct probability: everything ranking metrics need."""
-    return df.groupBy("p").agg(F.sum("y").alias("attacks"), F.sum(F.lit(1) - F.col("y")).alias("legitimate"))
+    return scored_rows(df).groupBy("p").agg(F.sum("y").alias("attacks"), F.sum(F.lit(1) - F.col("y")).alias("legitimate"))
 
 
 def cumulative_scores(df: DataFrame, with_ends: bool = False) -> DataFrame:

@@ -1,24 +1,40 @@
 """Totals, ranks and neighbours along one global order, without a single-task window.
 
 Rows are range-partitioned on the order, so even one huge group is cut into even slices. The slice
-number is written out once, so every later step sees the same cut. Each slice is then a window of
-its own, and what precedes it comes from one total per slice (as many rows as shuffle partitions).
+number and what a row gathers within its slice are written out once, so every later step sees the same cut. What
+precedes a slice is carried over from one row per slice (as many rows as shuffle partitions). That holds for any
+associative operation, not just sums: a carry is whatever the operation leaves of all slices before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardweir.session import materialise
 
 
-def in_slices(df: DataFrame, *order: Column) -> DataFrame:
-    """``df`` with ``_slice``: slices ascend along ``order`` and never overlap."""
-    return materialise(
-        df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ordered"
-    )
+def ahead() -> WindowSpec:
+    """The slices before one slice; like ``every``, over one row per slice."""
+    return W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+
+def every() -> WindowSpec:
+    return W.partitionBy(F.lit(0))
+
+
+def in_slices(df: DataFrame, *order: Column, local: Callable[[WindowSpec], list[dict[str, Column]]] | None = None) -> DataFrame:
+    """``df`` with ``_slice``: slices ascend along ``order`` and never overlap.
+
+    ``local`` gives columns, step by step, over the window of a row and those before it in its slice; they are written along.
+    """
+    sliced = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
+    for columns in local(W.partitionBy("_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) if local else []:
+        sliced = sliced.withColumns(columns)
+    return materialise(sliced, "ordered")
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
@@ -26,20 +42,18 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str]) ->
 
     ``order`` must be total. The grand total of each is added as ``<name>_total``.
     """
-    sliced = in_slices(df.selectExpr("*", *[f"{e} as _v_{n}" for n, e in sums.items()]), *order)
+    sliced = in_slices(
+        df, *order, local=lambda w: [{f"_v_{n}": F.expr(e) for n, e in sums.items()}, {f"_l_{n}": F.sum(f"_v_{n}").over(w) for n in sums}]
+    )
     per_slice = sliced.groupBy("_slice").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
-    ahead = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(0))
     offsets = per_slice.select(
         "_slice",
-        *[F.coalesce(F.sum(f"_s_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_s_{n}").over(everything).alias(f"{n}_total") for n in sums],
+        *[F.coalesce(F.sum(f"_s_{n}").over(ahead()), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_s_{n}").over(every()).alias(f"{n}_total") for n in sums],
     )
-    local = W.partitionBy("_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     # One row per slice: bounded by the number of shuffle partitions.
     return (
-        sliced.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(local) for n in sums})
-        .join(F.broadcast(offsets), "_slice")
+        sliced.join(F.broadcast(offsets), "_slice")
         .withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in sums})
         .drop("_slice", *[f"{p}{n}" for p in ("_v_", "_l_", "_o_") for n in sums])
     )
@@ -129,22 +143,23 @@ def first_events(df: DataFrame, n: int) -> DataFrame:
     return chronological(df).limit(n)
 
 
-def strict_times(df: DataFrame, now_ms: str, *order: Column) -> DataFrame:
-    """``t_i = max(now_i, t_(i-1) + 1)`` along the order: the running maximum of ``now - i``, plus i.
+def strict_times(df: DataFrame, now_ms: str, *order: Column, after_ms: int | None = None) -> DataFrame:
+    """``t_i = max(now_i, t_(i-1) + 1)`` along the order, as ``assigned_at_ms``; the first comes after ``after_ms`` if that is given.
 
-    A running maximum composes over slices like a sum does.
+    A slice of n rows maps the last time t before it to ``max(t + n, m + n)``, where m is the largest of its times less
+    the row's place in it. Such maps compose, so slices are cut once and a carry per slice does the rest.
     """
-    numbered = row_numbers(df, *order).drop("rn_total")
-    shifted = in_slices(numbered.withColumn("_m", F.col(now_ms) - F.col("rn")), F.col("rn"))
-    per_slice = shifted.groupBy("_slice").agg(F.max("_m").alias("_sm"))
-    ahead = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slice.select("_slice", F.max("_sm").over(ahead).alias("_before"))
-    local = W.partitionBy("_slice").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
+    sliced = in_slices(
+        df, *order, local=lambda w: [{"_i": F.row_number().over(w).cast("long")}, {"_m": F.max(F.col(now_ms) - F.col("_i")).over(w)}]
+    )
+    # over all rows before a slice, with places counted from the very first row: the largest of time less place
+    per_slice = sliced.groupBy("_slice").agg(F.max("_i").alias("_n"), F.max("_m").alias("_best"))
+    placed = per_slice.withColumn("_rows", F.coalesce(F.sum("_n").over(ahead()), F.lit(0)))
+    offsets = placed.select("_slice", (F.greatest(F.max(F.col("_best") - F.col("_rows")).over(ahead()), F.lit(after_ms).cast("long")) + F.col("_rows")).alias("_before"))
     return (
-        shifted.withColumn("_local", F.max("_m").over(local))
-        .join(F.broadcast(offsets), "_slice")
-        .withColumn("assigned_at_ms", F.greatest("_local", "_before") + F.col("rn"))
-        .drop("_slice", "_m", "_local", "_before", "rn")
+        sliced.join(F.broadcast(offsets), "_slice")
+        .withColumn("assigned_at_ms", F.greatest("_m", "_before") + F.col("_i"))
+        .drop("_slice", "_i", "_m", "_before")
     )
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import bp_half_up, rate
-from cardweir.operators.ordering import running_totals, systematic_sample
+from cardweir.operators.ordering import ahead, every, in_slices, systematic_sample
 
 
 @dataclass(frozen=True)
@@ -47,17 +46,37 @@ def fail_safe_action(risk_decision: str, reason: str) -> Column:
     return F.when(F.col(reason).isNotNull(), "review").otherwise(F.col(risk_decision))
 
 
+#: Comparing would count such a score as the highest of all.
+_UNSOUND = "isnan(p) or abs(p) = double('infinity')"
+
+
+def scored_rows(df: DataFrame) -> DataFrame:
+    """The rows a policy may be judged on: a score that is no finite number, or a target other than 0 and 1, is an error.
+
+    Rows without a score stay: the band sends them to review, and there they count.
+    """
+    return df.filter(f"if({_UNSOUND}, raise_error('a score is not a finite number'), true) and if(y in (0, 1), true, raise_error('a target is neither 0 nor 1'))")
+
+
+def finite_scores(df: DataFrame) -> DataFrame:
+    """Rows with a score, which must be a finite number."""
+    return df.filter(f"if({_UNSOUND}, raise_error('a score is not a finite number'), p is not null)")
+
+
 def evaluate_band(df: DataFrame, lower: float, upper: float, costs: Costs = Costs()) -> DataFrame:
-    """Confusion counts and cost; a reviewed row is neither a false positive nor a false negative."""
-    lo, hi = f"{float(lower)!r}D", f"{float(upper)!r}D"
-    counts = df.agg(
-        F.expr(f"count_if(p < {lo}) as allow_count"),
-        F.expr(f"count_if(p >= {lo} and p < {hi}) as review_count"),
-        F.expr(f"count_if(p >= {hi}) as deny_count"),
-        F.expr(f"count_if(p >= {hi} and y = 1) as true_positive"),
-        F.expr(f"count_if(p >= {hi} and y = 0) as false_positive"),
-        F.expr(f"count_if(p < {lo} and y = 0) as true_negative"),
-        F.expr(f"count_if(p < {lo} and y = 1) as false_negative"),
+    """Confusion counts and cost; a reviewed row is neither a false positive nor a false negative.
+
+    Counts follow ``band_route``, row by row: what has no score is reviewed. Scores that are no finite numbers are refused.
+    """
+    routed = scored_rows(df).select("y", band_route("p", lower, upper).alias("r"))
+    counts = routed.agg(
+        F.expr("count_if(r = 'allow') as allow_count"),
+        F.expr("count_if(r = 'review') as review_count"),
+        F.expr("count_if(r = 'deny') as deny_count"),
+        F.expr("count_if(r = 'deny' and y = 1) as true_positive"),
+        F.expr("count_if(r = 'deny' and y = 0) as false_positive"),
+        F.expr("count_if(r = 'allow' and y = 0) as true_negative"),
+        F.expr("count_if(r = 'allow' and y = 1) as false_negative"),
         F.expr("count(1) as row_count"),
         F.expr("count_if(y = 1) as attack_count"),
         F.expr("count_if(y = 0) as legitimate_count"),
@@ -91,11 +110,14 @@ def _values(spark, values: tuple[float, ...]) -> DataFrame:
 
 
 def sweep_candidates(df: DataFrame, grid_size: int | None = None, required: tuple[float, ...] = ()) -> DataFrame:
-    """Distinct observed probabilities with 0 and 1, plus the required; a grid thins them evenly."""
+    """Distinct observed probabilities with 0 and 1, plus the required; a grid thins them evenly.
+
+    Rows without a score add none; a score that is no finite number is an error.
+    """
     if grid_size is not None and grid_size < 2:
         raise ValueError("a grid needs at least two points")
     spark = df.sparkSession
-    observed = df.select("p").union(_values(spark, (0.0, 1.0))).distinct()
+    observed = finite_scores(df).select("p").union(_values(spark, (0.0, 1.0))).distinct()
     thinned = observed if grid_size is None else systematic_sample(observed, grid_size, F.col("p"))
     if required:
         thinned = thinned.union(_values(spark, required))
@@ -110,55 +132,67 @@ def select_band(
     The cost of a pair splits into a part of the lower and a part of the upper threshold:
     ``fn(lower) * c_fn - below(lower) * c_r`` plus ``fp(upper) * c_fp + below(upper) * c_r``. So the
     best lower partner of every upper threshold is a running minimum along the candidates, and the
-    grid of pairs is never built. Ties: cost, false positives, true positives, reviews, upper, lower.
+    grid of pairs is never built. Counts and minimum are one scan over slices: rows before a slice move the lower
+    parts of its candidates by one amount, so its best stays its best and only that one is carried on.
+    Rows without a score are reviewed under every pair and add the same cost to each.
+    Ties: cost, false positives, true positives, reviews, upper, lower.
     """
-    candidates = sweep_candidates(df, grid_size, required).selectExpr(
+    scored = scored_rows(df)
+    candidates = sweep_candidates(scored, grid_size, required).selectExpr(
         "p", "0L as n", "0L as attacks", "1 as candidate"
     )
     histogram = (
-        df.groupBy("p")
+        scored.groupBy("p")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("attacks"))
         .withColumn("candidate", F.lit(0))
         .unionByName(candidates)
         .groupBy("p")
         .agg(F.sum("n").alias("n"), F.sum("attacks").alias("attacks"), F.max("candidate").alias("candidate"))
     )
-    at = running_totals(histogram, [F.col("p")], {"rows": "n", "hits": "attacks"}).filter("candidate = 1")
-    points = at.selectExpr(
-        "p",
-        "rows - n as below",
-        "hits - attacks as attacks_below",
-        "rows_total - (rows - n) - (hits_total - (hits - attacks)) as false_positive",
-        "hits_total - (hits - attacks) as true_positive",
-        "rows_total as row_count",
-    ).selectExpr(
-        "*",
-        f"attacks_below * {costs.false_negative} - below * {costs.review} as lower_part",
-        f"false_positive * {costs.false_positive} + below * {costs.review} as upper_part",
+    lower_part = f"attacks_below * {costs.false_negative} - below * {costs.review}"
+    lowest = f"if(candidate = 1, named_struct('lower_part', {lower_part}, 'neg_below', -below, 'neg_p', -p, 'attacks_below', attacks_below), null)"
+    sliced = in_slices(
+        histogram.filter("p is not null"), F.col("p"),
+        local=lambda w: [
+            {"below": F.sum("n").over(w) - F.col("n"), "attacks_below": F.sum("attacks").over(w) - F.col("attacks")},
+            {"low": F.min(F.expr(lowest)).over(w)},
+        ],
     )
-    # At most grid + required candidates are left here, so one ordered window is small by design.
-    up_to = W.orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    best = points.withColumn(
-        "low",
-        F.min(
-            F.struct(
-                "lower_part", (-F.col("below")).alias("neg_below"), (-F.col("p")).alias("neg_p"),
-                "attacks_below",
-            )
-        ).over(up_to),
+
+    def moved(low: str) -> Column:
+        """A slice's best candidate with what stands before the slice counted in."""
+        return F.expr(
+            f"if({low} is null, null, named_struct('lower_part', {low}.lower_part + before_attacks * {costs.false_negative} - before_rows * {costs.review},"
+            f" 'neg_below', {low}.neg_below - before_rows, 'neg_p', {low}.neg_p, 'attacks_below', {low}.attacks_below + before_attacks))"
+        )
+
+    per_slice = sliced.groupBy("_slice").agg(F.sum("n").alias("rows"), F.sum("attacks").alias("hits"), F.min("low").alias("best"))
+    carried = (
+        per_slice.withColumns({
+            "before_rows": F.coalesce(F.sum("rows").over(ahead()), F.lit(0)), "before_attacks": F.coalesce(F.sum("hits").over(ahead()), F.lit(0)),
+            "row_count": F.sum("rows").over(every()), "attack_count": F.sum("hits").over(every()),
+        })
+        .withColumn("before", F.min(moved("best")).over(ahead()))
+        .drop("rows", "hits", "best")
+    )
+    unscored = histogram.filter("p is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    best = (
+        sliced.filter("candidate = 1").join(F.broadcast(carried), "_slice")
+        .withColumns({"below": F.expr("below + before_rows"), "attacks_below": F.expr("attacks_below + before_attacks"), "low": F.least(moved("low"), F.col("before"))})
+        .withColumns({"true_positive": F.expr("attack_count - attacks_below"), "false_positive": F.expr("row_count - below - attack_count + attacks_below"), "unscored": unscored})
     )
     return (
         best.selectExpr(
             "-low.neg_p as lower_threshold",
             "p as upper_threshold",
-            "low.lower_part + upper_part as cost_units",
+            f"low.lower_part + false_positive * {costs.false_positive} + (below + unscored) * {costs.review} as cost_units",
             "false_positive",
             "true_positive",
             "low.attacks_below as false_negative",
-            "below + low.neg_below as review_count",
+            "below + low.neg_below + unscored as review_count",
             "-low.neg_below as allow_count",
             "row_count - below as deny_count",
-            "row_count",
+            "row_count + unscored as row_count",
         )
         .orderBy(
             "cost_units", "false_positive", F.col("true_positive").desc(), "review_count",
@@ -171,9 +205,12 @@ def select_band(
 
 
 def boundary_diagnostics(df: DataFrame, threshold: float) -> DataFrame:
-    """How close the observed scores come to a threshold from below, and how many rows tie there."""
+    """How close the observed scores come to a threshold from below, and how many rows tie there.
+
+    Rows without a score tie nowhere; a score that is no finite number is an error.
+    """
     t = f"{float(threshold)!r}D"
-    histogram = df.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("attacks"))
+    histogram = finite_scores(df).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("attacks"))
     return histogram.agg(
         F.count(F.lit(1)).alias("distinct_probability_count"),
         F.expr(f"max(if(p < {t}, p, null)) as nearest_below"),

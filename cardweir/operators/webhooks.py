@@ -237,20 +237,24 @@ def sanitised_payload() -> Column:
     )
 
 
-def first_deliveries(screened: DataFrame) -> DataFrame:
-    """Accepted calls, the first of each provider event id, parsed again from the kept body.
+def first_calls(screened: DataFrame) -> DataFrame:
+    """Accepted calls, the first of each provider event id.
 
     The earliest call of an id is a minimum, which combines map-side: an id delivered a billion
     times costs no more than one.
     """
     first = F.min_by(F.struct("call_no", "body", "received_at_ms"), F.struct("received_at_ms", "call_no"))
-    kept = (
+    return (
         screened.filter("reject_reason is null")
         .groupBy("provider_event_id")
         .agg(first.alias("call"))
         .select("provider_event_id", "call.*")
     )
-    return parsed_once(kept, "body")
+
+
+def first_deliveries(screened: DataFrame) -> DataFrame:
+    """The first calls, parsed again from the kept body."""
+    return parsed_once(first_calls(screened), "body")
 
 
 def audit_rows(deliveries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from cardweir.sources.tables import (
     CALIBRATION_END_MS,
     DENY_THRESHOLD,
+    PART_EDGES_MS,
     START_MS,
     TRAIN_END_MS,
     WEBHOOK_KEY,
@@ -45,6 +46,19 @@ SELECT {tok('evt', 'event_id')} AS event_id, event_id AS event_no, ms AS occurre
   CASE event_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'mobile_web' ELSE 'mobile_app' END AS channel
 FROM ev"""
 
+# The event set as the decision stream gets it: in parts, some events with a later part than their time says, and each
+# request stamped with its own time or one millisecond more than the request before it, whichever is later.
+VIEWS["delivered"] = f"""
+SELECT *, part + CASE WHEN part < 3 AND event_no % 13 = 4 THEN 1 ELSE 0 END AS batch
+FROM (SELECT *, {' + '.join(f'CAST(occurred_at_ms >= {edge} AS INTEGER)' for edge in PART_EDGES_MS)} AS part FROM attempts) a"""
+
+VIEWS["stamped"] = """
+SELECT *, max(received_at_ms - place) OVER (ORDER BY place) + place AS stamp
+FROM (SELECT *, occurred_at_ms AS received_at_ms, row_number() OVER (ORDER BY batch, occurred_at_ms, event_id) AS place FROM delivered) d"""
+
+VIEWS["live"] = """
+SELECT * REPLACE (stamp AS occurred_at_ms, 'authorized' AS outcome, NULL AS failure_category) FROM stamped"""
+
 VIEWS["labels_v"] = f"""
 SELECT {tok('evt', 'event_id')} AS event_id, ms AS occurred_at_ms,
   CASE WHEN ms < {TRAIN_END_MS} THEN 'train' WHEN ms < {CALIBRATION_END_MS} THEN 'calibration'

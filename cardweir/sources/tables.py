@@ -15,6 +15,8 @@ from cardweir.session import use_utc
 START_MS = 1_767_225_600_000  # 2026-01-01T00:00:00Z
 TRAIN_END_MS = START_MS + 28_800_000
 CALIBRATION_END_MS = START_MS + 36_000_000
+#: Where the parts end in which streams get the event set.
+PART_EDGES_MS = (TRAIN_END_MS, TRAIN_END_MS + 3_600_000, CALIBRATION_END_MS)
 DENY_THRESHOLD = 0.62
 WEBHOOK_KEY = b"whk-demo-key-for-tests"
 

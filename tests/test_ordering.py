@@ -51,6 +51,22 @@ def test_strict_times(spark):
     assert got == want
 
 
+def test_strict_times_over_many_slices_and_after_a_carry(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 0, 3, rng.randrange(4000)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, now bigint").repartition(7)
+    for carry in (None, 1500, 10_000):
+        got = {r.i: r.assigned_at_ms for r in O.strict_times(df, "now", F.col("now"), F.col("i"), after_ms=carry).collect()}
+        last = carry
+        for i, now in sorted(rows, key=lambda r: (r[1], r[0])):
+            last = now if last is None or now > last else last + 1
+            assert got[i] == last
+    plan = O.strict_times(df, "now", F.col("i"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("BroadcastExchange")[0]  # rows meet their slice's carry and nothing else
+
+
 def test_join_on_entity_splits_without_changing_rows(spark):
     rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 0L, id % 50) as k")
     entities = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cardweir.operators import drift as D
@@ -48,6 +49,31 @@ def test_band_equals_exhaustive_search(spark, seed):
     assert outcome.cost_units == got.cost_units and outcome.review_count == got.review_count
 
 
+def test_rows_without_a_score_are_reviewed_in_every_count(spark):
+    rows = [(i % 7 == 0, None if i % 11 == 0 else (i * 37 % 100) / 100) for i in range(900)]
+    df = spark.createDataFrame([(int(y), p) for y, p in rows], "y int, p double")
+    for lower, upper in ((0.2, 0.7), (0.5, 0.5)):
+        out = P.evaluate_band(df, lower, upper).first()
+        routed = {r.r: r["count"] for r in df.groupBy(P.band_route("p", lower, upper).alias("r")).count().collect()}
+        assert (out.allow_count, out.review_count, out.deny_count) == tuple(routed.get(k, 0) for k in ("allow", "review", "deny"))
+        assert out.allow_count + out.review_count + out.deny_count == out.row_count == 900
+    best = P.select_band(df).first()
+    outcome = P.evaluate_band(df, best.lower_threshold, best.upper_threshold).first()
+    assert (best.cost_units, best.review_count, best.row_count, best.deny_count) == (outcome.cost_units, outcome.review_count, 900, outcome.deny_count)
+    assert P.boundary_diagnostics(df, 0.5).first().distinct_probability_count == 100
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), float("-inf")])
+def test_scores_that_are_no_numbers_are_refused(spark, odd):
+    df = spark.createDataFrame([(0, .1), (1, odd)], "y int, p double")
+    for run in (lambda: P.evaluate_band(df, .2, .8), lambda: P.select_band(df), lambda: P.sweep_candidates(df), lambda: P.boundary_diagnostics(df, .5),
+                lambda: P.compare_policies(df, .2, .8, .5), lambda: M.threshold_metrics(df, .5), lambda: M.threshold_curve(df)):
+        with pytest.raises(PySparkException, match="not a finite number"):
+            run().collect()
+    with pytest.raises(PySparkException, match="neither 0 nor 1"):
+        P.evaluate_band(spark.createDataFrame([(2, .1)], "y int, p double"), .2, .8).collect()
+
+
 def test_band_routes_and_middle_band(spark):
     p = [0.0, .19, .2, .5, .79, .8, 1.0]
     df = scored(spark, [0] * 7, p).withColumn("r", P.band_route("p", .2, .8))
