@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardweir.operators.joins import join_on_entity
 from cardweir.operators.ledger import GRAPH_KINDS, entity_rows, since_window
+from cardweir.operators.ordering import row_numbers
 from cardweir.session import discard, materialise
 
 
@@ -25,12 +26,11 @@ def hubs(decisions: DataFrame) -> DataFrame:
     )
 
 
-def edges(decisions: DataFrame) -> DataFrame:
-    """event -> hub for every decision that carries a shared token."""
+def edges(decisions: DataFrame, hub_rows: DataFrame | None = None) -> DataFrame:
+    """event -> hub for every decision that carries a shared token. ``hub_rows``: the hubs, if they are written already."""
+    hub_rows = materialise(hubs(decisions), "hubs") if hub_rows is None else hub_rows
     return (
-        join_on_entity(
-            entity_rows(decisions, GRAPH_KINDS), materialise(hubs(decisions), "hubs"), ["kind", "token"], "degree"
-        )
+        join_on_entity(entity_rows(decisions, GRAPH_KINDS), hub_rows, ["kind", "token"], "degree")
         .select(
             F.concat(F.lit("event:"), F.col("id")).alias("source"),
             F.col("hub_id").alias("target"),
@@ -51,7 +51,7 @@ def hub_shared_kinds(edge_rows: DataFrame) -> DataFrame:
     """Per hub: how many other kinds its decisions also share.
 
     Edges meet the three flags of their decision, then the flags are combined map-side per hub; no
-    pair of edges is ever built.
+    pair of edges is ever built. The edges are read twice: pass a written table.
     """
     joined = edge_rows.join(kinds_per_event(edge_rows), "id")
     others = [
@@ -68,8 +68,9 @@ def hub_shared_kinds(edge_rows: DataFrame) -> DataFrame:
 
 def nodes(decisions: DataFrame) -> DataFrame:
     """Hub and event nodes with degree, shared kinds and action."""
-    e = edges(decisions)
-    hub_nodes = hubs(decisions).join(hub_shared_kinds(e), "hub_id").select(
+    h = materialise(hubs(decisions), "hubs")
+    e = materialise(edges(decisions, h), "edges")
+    hub_nodes = h.join(hub_shared_kinds(e), "hub_id").select(
         F.col("hub_id").alias("node_id"), "kind", F.col("token").alias("label"),
         F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("decision_id"),
         F.col("degree").cast("long").alias("degree"), F.col("shared_kinds").cast("long").alias("shared_kinds"),
@@ -90,48 +91,54 @@ def graph_totals(decisions: DataFrame) -> DataFrame:
     )
 
 
-def clusters(decisions: DataFrame) -> DataFrame:
+def clusters(decisions: DataFrame, share: float = 1e-3, minimum_rows: int = 1_000_000) -> DataFrame:
     """(hub_id, cluster_id): connected components of hubs through shared decisions.
 
     Alternating large-star and small-star contraction: every round links nodes to the smallest
-    label around them, so the number of rounds grows with the logarithm of the longest chain. Each
+    label around them, so the number of rounds grows with the logarithm of the longest chain. Hubs are numbered
+    in the order of their ids first, so a link is two long integers and the smallest number is the smallest id. Each
     round is written to the shared folder, which keeps the plan short and survives lost executors.
+
+    A component that holds most hubs ends as one star: all its links meet at one label. Labels above ``share`` of the links, of
+    which there are at most ``2 / share``, are broadcast with their smallest neighbour, so their links stay in the tasks they are in.
     """
-    e = edges(decisions).select("source", "target")
+    h = materialise(row_numbers(hubs(decisions), F.col("hub_id"), name="no"), "hubs")
+    e = materialise(join_on_entity(entity_rows(decisions, GRAPH_KINDS), h, ["kind", "token"], "degree").select("id", "no"), "edges")
     # A star per decision: its hubs all point to the smallest, so no pair list is built.
-    centre = e.groupBy("source").agg(F.min("target").alias("v"))
-    links = e.join(centre, "source").select(F.col("target").alias("u"), "v").distinct()
-    links = materialise(links, "cluster-links")
+    centre = e.groupBy("id").agg(F.min("no").alias("v"))
+    links = materialise(e.join(centre, "id").select(F.col("no").alias("u"), "v").filter("u <> v").distinct(), "cluster-links")
     previous = None
     while True:
-        before, links = links, materialise(_small_star(_large_star(links)), "cluster-links")
-        discard(before)
+        for star in (_large_star, _small_star):
+            before, links = links, materialise(star(links, share, minimum_rows), "cluster-links")
+            discard(before)
         state = links.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
         if state == previous:
             break
         previous = state
-    roots = e.select("target").distinct().select(F.col("target").alias("u"))
-    return roots.join(links.filter("u <> v"), "u", "left").select(
-        F.col("u").alias("hub_id"), F.coalesce("v", "u").alias("cluster_id")
-    )
+    names = h.select("no", "hub_id")
+    # every hub and the root it ends at; the roots' names are joined by number, many hubs to few roots
+    rooted = names.join(links.select(F.col("u").alias("no"), "v"), "no", "left").withColumn("root", F.coalesce("v", "no"))
+    roots = materialise(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(names.select(F.col("no").alias("root"), F.col("hub_id").alias("cluster_id")), "root"), "roots")
+    return join_on_entity(rooted, roots, ["root"], "n", share, minimum_rows).select("hub_id", "cluster_id")
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.filter("u <> v").selectExpr("inline(array(struct(u as a, v as b), struct(v as a, u as b)))")
+def _neighbours(links: DataFrame, share: float, minimum_rows: int) -> DataFrame:
+    """(a, b, m) for links seen from a: m is the smallest neighbour of a."""
+    low = materialise(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "cluster-low")
+    return join_on_entity(links, low, ["a"], "n", share, minimum_rows)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, share: float, minimum_rows: int) -> DataFrame:
     """Every neighbour above a node points to the smallest of the node and its neighbours."""
-    near = _both_ways(links)
-    low = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return near.filter("b > a").join(low, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+    both_ways = links.selectExpr("inline(array(struct(u as a, v as b), struct(v as a, u as b)))")
+    near = _neighbours(both_ways, share, minimum_rows)
+    return near.filter("b > a").selectExpr("b as u", "least(a, m) as v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, share: float, minimum_rows: int) -> DataFrame:
     """A node and its neighbours below it all point to the smallest among them."""
-    down = links.filter("u <> v").selectExpr("greatest(u, v) as a", "least(u, v) as b").distinct()
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    spread = down.join(low, "a").selectExpr("b as u", "m as v").filter("u <> v")
-    return spread.unionByName(low.selectExpr("a as u", "m as v")).distinct()
+    down = _neighbours(links.selectExpr("greatest(u, v) as a", "least(u, v) as b"), share, minimum_rows)
+    return down.selectExpr("inline(array(struct(b as u, m as v), struct(a as u, m as v)))").filter("u <> v").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import int_div
+from cardweir.operators.ordering import order_violations, running_totals
 
 
 def join_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -13,8 +14,12 @@ def join_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
     return features.join(labels.drop("occurred_at_ms"), "event_id")
 
 
-def join_anomalies(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(event_id, problem) for ids missing on a side or repeated on a side."""
+def join_anomalies(left: DataFrame, right: DataFrame, sequence: str | None = None) -> DataFrame:
+    """(event_id, problem) for ids missing on a side or repeated on a side, and for rows out of order.
+
+    ``sequence``: the column that numbers the rows of a side as they stand in its source; a side that has it must ascend along it
+    by (time, id), and every row that does not exceed the one before it is reported as ``order_left`` or ``order_right``.
+    """
     l = left.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_left"))
     r = right.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_right"))
     both = l.join(r, "event_id", "full_outer")
@@ -24,7 +29,10 @@ def join_anomalies(left: DataFrame, right: DataFrame) -> DataFrame:
         F.when(F.col("n_left") > 1, "duplicate_left"),
         F.when(F.col("n_right") > 1, "duplicate_right"),
     ))
-    return both.select("event_id", F.explode(problems).alias("problem"))
+    found = both.select("event_id", F.explode(problems).alias("problem"))
+    for side, name in ((left, "order_left"), (right, "order_right")) if sequence else ():
+        found = found.unionByName(order_violations(side, sequence).select("event_id", F.lit(name).alias("problem")))
+    return found
 
 
 def lookup_labels(features: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -73,6 +81,27 @@ def prior_events(
     )
 
 
+def prior_counts(events: DataFrame, key: str, window_seconds: int, event_id: str = "event_id", time_ms: str = "occurred_at_ms") -> DataFrame:
+    """(entity, event_id, t, prior_count, prior_gap_ms): how many pairs ``prior_events`` has for each event and the sum of their gaps.
+
+    No pair is built. Each event comes into its entity's sums at its own time and leaves them a window later, so the sums are 0
+    wherever an entity ends, and running totals along (entity, time) over the whole table are each entity's own. Their slices cut
+    an entity of any size evenly.
+    """
+    width = window_seconds * 1000
+    kept = events.filter(F.col(key).isNotNull()).select(F.col(key).alias("entity"), F.col(event_id).alias("event_id"), F.col(time_ms).alias("own_t"))
+    steps = kept.selectExpr(
+        "entity", "event_id", "own_t",
+        # what leaves does so before what arrives in the same millisecond
+        f"inline(array(struct(own_t as t, 1 as arrives), struct(own_t + {width} as t, 0 as arrives)))",
+    )
+    order = [F.col(c) for c in ("entity", "t", "arrives", "event_id")]
+    running = running_totals(steps, order, {"n": "if(arrives = 1, 1L, -1L)", "sum_t": "if(arrives = 1, own_t, -own_t)"})
+    return running.filter("arrives = 1").selectExpr(
+        "entity", "event_id", "t", "n - 1 as prior_count", "(n - 1) * t - (sum_t - t) as prior_gap_ms"
+    )
+
+
 def compare_rows(actual: DataFrame, expected: DataFrame, columns: list[str]) -> DataFrame:
     """(event_id, problem) for missing, extra and differing rows; nulls compare equal."""
     a = actual.select("event_id", F.struct(*columns).alias("a"), F.lit(True).alias("in_a"))

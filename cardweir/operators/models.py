@@ -1,34 +1,39 @@
-"""Model fitting with MLlib and scoring as plain Column expressions.
+"""Model fitting and scoring as plain Column expressions.
 
-A fitted model leaves MLlib as a small table of numbers (coefficients, or the nodes of a few dozen
-shallow trees), so scoring needs no Python and no MLlib: it is an expression any query can use.
+Logistic fits are MLlib's; boosting is histograms of gradients and hessians, summed by Spark. A fitted model is a small table of numbers
+(coefficients, or the nodes of a few dozen shallow trees), so scoring needs no Python and no MLlib: it is an expression any query can use.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import clip_probability, sigmoid_stable
 from cardweir.operators import metrics as M
-from cardweir.operators.ordering import systematic_sample
+from cardweir.operators.ordering import nearest_ranks, systematic_sample
 from cardweir.operators.policy import candidate_ranking
-from cardweir.session import new_table_path
+from cardweir.session import materialise
 
 # The candidates' settings.
 LOGISTIC_C = 1.0
 LOGISTIC_TOLERANCE = 1e-8
 MAXIMUM_ITERATIONS = 1000
 TREES = 48
-TREE_DEPTH = 2
 LEARNING_RATE = 0.05
 MINIMUM_LEAF = 20
 CLIP = 1e-15
-SEED = 20260820
+
+#: Candidate thresholds of a feature; gains that differ by less than this part are ties; what counts as a gain at all.
+EDGES = 49
+TIE, GAIN = 1e-9, 1e-12
 
 
 @dataclass(frozen=True)
@@ -106,35 +111,164 @@ def fit_logistic(df: DataFrame, features: list[str], C: float = LOGISTIC_C) -> L
     return LogisticModel(scaler, tuple(float(c) for c in fitted.coefficients), float(fitted.intercept))
 
 
-def fit_boosting(df: DataFrame, features: list[str]):
-    """Gradient boosting; returns the MLlib model, see ``portable_trees``."""
-    train = VectorAssembler(inputCols=features, outputCol="x").transform(weighted(df.select("y", *features)))
-    return GBTClassifier(
-        featuresCol="x", labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=TREE_DEPTH,
-        stepSize=LEARNING_RATE, minInstancesPerNode=MINIMUM_LEAF, seed=SEED,
-    ).fit(train.select("x", "y", "weight"))
-
-
-def portable_trees(model, features: list[str], df_spark) -> BoostedModel:
-    """The node table of a saved model; its size is trees x nodes, a few hundred rows."""
-    path = new_table_path(df_spark, "boosted")
-    model.write().save(path)
-    nodes = df_spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
-    by_tree: dict[int, list] = {}
-    for n in nodes:
-        by_tree.setdefault(n.treeID, []).append(n)
-    trees = tuple(
-        Tree(
-            tuple(n.leftChild for n in rows), tuple(n.rightChild for n in rows),
-            tuple(n.split.featureIndex for n in rows),
-            tuple(n.split.leftCategoriesOrThreshold[0] if n.leftChild >= 0 else 0.0 for n in rows),
-            tuple(n.prediction for n in rows),
-        )
-        for _, rows in sorted(by_tree.items())
-    )
-    return BoostedModel(
-        tuple(features), trees, tuple(model.treeWeights), tuple(float(v) for v in model.featureImportances.toArray())
-    )
+def candidate_edges(df: DataFrame, features: list[str], edges: int = EDGES) -> list[tuple[float, ...]]:
+    """Per feature, the values at evenly spaced exact nearest ranks: at most ``edges`` thresholds, the largest value left out."""
+    step = 100 // (edges + 1)
+    percents = {f"p{p}": p for p in range(step, 100, step)}
+    melted = df.select(F.expr(f"inline(array({', '.join(f'struct({i} as feature, double({f}) as value)' for i, f in enumerate(features))}))"))
+    ranks = nearest_ranks(melted.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w")), "value", "w", percents, ("feature",))
+    rows = {r.feature: sorted({r[p] for p in percents if r[p] < r["max_"]}) for r in ranks.withColumnRenamed("max", "max_").collect()}  # a row per feature
+    return [tuple(rows.get(i, ())) for i in range(len(features))]
+
+
+@dataclass(frozen=True)
+class Split:
+    feature: int
+    place: int  # of its threshold among the feature's edges
+    gain: float
+
+
+def best_split(cells: np.ndarray, edges: list[tuple[float, ...]], minimum_leaf: int) -> Split | None:
+    """The split of one node by its histogram ``cells`` (feature, bin, [rows, weight, gradient, hessian]).
+
+    The gain is the drop of the weighted squared error of the gradients, ``wl wr / (wl + wr) (ml - mr)**2`` with the sides'
+    weights and means. Ties go to the first feature, then the lowest threshold.
+    """
+    best = None
+    whole = cells[0].sum(0)
+    for f, own in enumerate(edges):
+        if not own:
+            continue
+        left = cells[f, : len(own)].cumsum(0)
+        right = whole - left
+        fits = (left[:, 0] >= minimum_leaf) & (right[:, 0] >= minimum_leaf) & (left[:, 1] > 0) & (right[:, 1] > 0)
+        if not fits.any():
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[:, 1] * right[:, 1] / whole[1] * (left[:, 2] / left[:, 1] - right[:, 2] / right[:, 1]) ** 2
+        gain = np.where(fits, gain, -1.0)
+        place = int(np.argmax(gain > gain.max() * (1 - TIE)))
+        if gain[place] > GAIN and (best is None or gain[place] > best.gain * (1 + TIE)):
+            best = Split(f, place, float(gain[place]))
+    return best
+
+
+def newton_leaf(cell: np.ndarray) -> float:
+    """Sum of weighted gradients over sum of weighted hessians: one Newton step of the log loss."""
+    return float(cell[2] / cell[3]) if abs(cell[3]) > 1e-150 else 0.0
+
+
+def _binned_raw(bins: np.ndarray, trees: list[tuple]) -> np.ndarray:
+    """Log-odds of binned rows by the trees so far; a tree is nested (feature, place, left, right) tuples with leaf values at the ends."""
+
+    def walk(node, rows: np.ndarray, out: np.ndarray) -> None:
+        if not isinstance(node, tuple):
+            out[rows] += node
+            return
+        left = bins[rows, node[0]] <= node[1]
+        walk(node[2], rows[left], out)
+        walk(node[3], rows[~left], out)
+
+    out = np.zeros(len(bins))
+    for tree in trees:
+        walk(tree, np.arange(len(bins)), out)
+    return out
+
+
+def fit_boosting(
+    df: DataFrame, features: list[str], trees: int = TREES, learning_rate: float = LEARNING_RATE, minimum_leaf: int = MINIMUM_LEAF, edges: int = EDGES,
+) -> BoostedModel:
+    """Gradient boosting of the balanced log loss: start at 0, trees of depth two, Newton leaves, shrunk by the learning rate.
+
+    Rows are binned by candidate thresholds and written once. Each level of a tree is one pass: tasks sum rows, weights, gradients
+    and hessians by (node, feature, bin) in arrays, the sums meet by cell, and the driver picks splits from features x bins
+    cells. Scores of rows are never stored; a pass computes them from the trees so far.
+    """
+    thresholds = candidate_edges(df, features, edges)
+    width = max((len(e) for e in thresholds), default=0) + 1
+    own = [np.array(e) for e in thresholds]
+
+    def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.searchsorted(e, batch.column(i + 2).to_numpy(zero_copy_only=False), side="left") for i, e in enumerate(own)]
+            flat = np.stack(x, 1).astype(np.int16) if len(batch) else np.zeros((0, len(own)), np.int16)
+            lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, max(1, len(own)), dtype=np.int32), pa.array(flat.reshape(-1)))
+            yield pa.record_batch([batch.column(0), batch.column(1), lists], ["y", "weight", "bins"])
+
+    rows = weighted(df.select("y", *features)).select(F.col("y").cast("int"), F.col("weight").cast("double"), *[F.col(f).cast("double") for f in features])
+    binned = materialise(rows.mapInArrow(bin_rows, "y int, weight double, bins array<smallint>"), "binned")
+
+    def histogram(grown: list[tuple], nodes: list[list[tuple[int, int, bool]]]) -> np.ndarray:
+        """(node, feature, bin, sums) over the rows that reach each node; a node is its path of (feature, place, goes left)."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((4, len(nodes) * len(own) * width))
+            for batch in batches:
+                if not len(batch):
+                    continue
+                y, weight = batch.column(0).to_numpy().astype(float), batch.column(1).to_numpy()
+                bins = batch.column(2).flatten().to_numpy().reshape(len(batch), len(own)).astype(np.int64)
+                p = 1 / (1 + np.exp(-learning_rate * _binned_raw(bins, grown)))
+                values = np.stack([np.ones(len(y)), weight, weight * (y - p), weight * p * (1 - p)])
+                for k, path in enumerate(nodes):
+                    here = np.ones(len(y), bool)
+                    for f, place, left in path:
+                        here &= (bins[:, f] <= place) == left
+                    cell = ((k * len(own) + np.arange(len(own))) * width + bins[here]).reshape(-1)
+                    for j in range(4):
+                        total[j] += np.bincount(cell, weights=np.repeat(values[j, here], len(own)), minlength=total.shape[1])
+            some = np.flatnonzero(total[0])
+            yield pa.record_batch([pa.array(some), *[pa.array(total[j, some]) for j in range(4)]], ["cell", "n", "w", "g", "h"])
+
+        out = np.zeros((len(nodes) * len(own) * width, 4))
+        met = binned.mapInArrow(sums, "cell long, n double, w double, g double, h double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in "nwgh"])
+        for r in met.collect():  # nodes x features x bins cells at most
+            out[r.cell] = (r.n, r.w, r.g, r.h)
+        return out.reshape(len(nodes), len(own), width, 4)
+
+    grown: list[tuple] = []
+    gains = np.zeros(len(own))
+    for _ in range(trees):
+        tree_gains = np.zeros(len(own))
+
+        def grow(cells: np.ndarray, split: Split | None, deeper=None):
+            """A leaf, or a split whose sides are leaves of the same histogram or come from ``deeper``."""
+            if split is None:
+                return newton_leaf(cells[0].sum(0))
+            tree_gains[split.feature] += split.gain
+            left = cells[split.feature, : split.place + 1].sum(0)
+            right = cells[split.feature].sum(0) - left
+            sides = deeper or (newton_leaf(left), newton_leaf(right))
+            return (split.feature, split.place, *sides)
+
+        (root_cells,) = histogram(grown, [[]])
+        root = best_split(root_cells, thresholds, minimum_leaf)
+        sides = None
+        if root is not None:
+            below = histogram(grown, [[(root.feature, root.place, True)], [(root.feature, root.place, False)]])
+            sides = tuple(grow(cells, best_split(cells, thresholds, minimum_leaf)) for cells in below)
+        grown.append(grow(root_cells, root, sides))
+        if tree_gains.sum() > 0:
+            gains += tree_gains / tree_gains.sum()
+    importances = gains / gains.sum() if gains.sum() > 0 else gains
+    return BoostedModel(tuple(features), tuple(_node_table(t, thresholds) for t in grown), (learning_rate,) * trees, tuple(importances.tolist()))
+
+
+def _node_table(tree, thresholds: list[tuple[float, ...]]) -> Tree:
+    """Nodes by id, a parent before its children and all of the left side before the right one."""
+    left, right, feature, threshold, value = [], [], [], [], []
+
+    def add(node) -> int:
+        number = len(left)
+        inner = isinstance(node, tuple)
+        for column, v in ((left, -1), (right, -1), (feature, node[0] if inner else -1), (threshold, thresholds[node[0]][node[1]] if inner else 0.0), (value, 0.0 if inner else node)):
+            column.append(v)
+        if inner:
+            left[number], right[number] = add(node[2]), add(node[3])
+        return number
+
+    add(tree)
+    return Tree(tuple(left), tuple(right), tuple(feature), tuple(threshold), tuple(value))
 
 
 def _tree_sql(tree: Tree, features: tuple[str, ...], node: int = 0) -> str:
@@ -147,10 +281,7 @@ def _tree_sql(tree: Tree, features: tuple[str, ...], node: int = 0) -> str:
 
 
 def score_raw(model: LogisticModel | BoostedModel) -> Column:
-    """Log-odds as a Column: a dot product, or trees walked with ``x <= threshold`` to the left.
-
-    MLlib trees predict half the log-odds, hence the factor two.
-    """
+    """Log-odds as a Column: a dot product, or trees walked with ``x <= threshold`` to the left."""
     if isinstance(model, LogisticModel):
         s = model.scaler
         terms = [
@@ -159,7 +290,7 @@ def score_raw(model: LogisticModel | BoostedModel) -> Column:
         ]
         return F.expr(" + ".join([f"{model.intercept!r}D", *terms]))
     walks = [f"{w!r}D * {_tree_sql(t, model.features)}" for w, t in zip(model.weights, model.trees)]
-    return F.expr(f"2D * ({' + '.join(walks)})")
+    return F.expr(" + ".join(walks) if walks else "0D")
 
 
 def fit_platt(df: DataFrame, raw: str = "raw", C: float = 1.0) -> Platt:
@@ -209,7 +340,7 @@ class Candidate:
 
 def fit_candidates(train: DataFrame, calibration: DataFrame, features: list[str]) -> list[Candidate]:
     logistic = fit_logistic(train, features)
-    boosted = portable_trees(fit_boosting(train, features), features, train.sparkSession)
+    boosted = fit_boosting(train, features)
     return [
         Candidate(name, m, fit_platt(calibration.select("y", score_raw(m).alias("raw"))))
         for name, m in (("logistic_regression", logistic), ("gradient_boosting", boosted))

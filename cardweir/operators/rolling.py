@@ -18,7 +18,7 @@ Entities missing from an attempt (null tokens) produce no rows, so nulls never f
 
 **Hot entities.** One entity may hold a third of all rows. A deterministic sample finds entities
 above a share of the data; only theirs are cut into short time slices, each its own group. What
-slices miss from each other is added back from slice totals, which are pre-aggregated and small.
+slices miss from each other is added back from a tree of totals: slices, blocks of slices, the entity's blocks.
 Slicing changes the layout, never the result.
 
 Expressions are written as SQL text: the plan is wide, and one parsed string per column builds far
@@ -53,6 +53,9 @@ class Family:
 class Slicing:
     """How hot entities are found and cut. ``share`` bounds the list that is broadcast.
 
+    Slices of ``slice_ms`` are the leaves of a tree of totals: ``fan`` neighbouring slices make a block, and an entity is its
+    blocks. One task holds the slices of a block or the blocks of an entity, never all slices of an entity.
+
     At most ``families / share`` entities can exceed the share, whatever the data size: with the
     default, 10,000 per family, about 5 MB in all.
     """
@@ -61,6 +64,7 @@ class Slicing:
     minimum_rows: int = 1_000_000
     sample_modulus: int = 64
     slice_ms: int = 1_000
+    fan: int = 4_096
 
 
 @dataclass(frozen=True)
@@ -154,6 +158,43 @@ def _flag(df: DataFrame, hot: DataFrame, ent: str, key: str, flag: str) -> DataF
     ).drop(f"{flag}_ent", f"{flag}_key")
 
 
+def _with_blocks(slices: DataFrame, keys: list[str], slicing: Slicing, sums: list, ahead: list, within: list) -> DataFrame:
+    """Slices with what their block's neighbours give (``ahead``, over an entity's blocks) and their own (``within``, over a block's slices)."""
+    slices = slices.withColumn("block", F.expr(f"slice div {slicing.slice_ms * slicing.fan}"))
+    order = W.partitionBy(*keys).orderBy("block")
+    blocks = slices.groupBy(*keys, "block").agg(*sums).select(*keys, "block", *[c(order) for c in ahead])
+    named = blocks.select(*[F.col(c).alias(f"y_{c}") for c in (*keys, "block")], *blocks.columns[len(keys) + 1 :])
+    inside = W.partitionBy(*keys, "block").orderBy("slice")
+    own = slices.select(*keys, "block", "slice", *[c(inside) for c in within])
+    same = F.col("block") == F.col("y_block")
+    for c in keys:  # the last key of a pair may be null: the entity alone
+        same &= F.col(c).eqNullSafe(F.col(f"y_{c}")) if c == "b" else F.col(c) == F.col(f"y_{c}")
+    return own.join(named, same).drop(*[f"y_{c}" for c in (*keys, "block")], "block")
+
+
+def _slice_carries(totals: DataFrame, keys: list[str], names: list[str], slicing: Slicing) -> DataFrame:
+    """``in_<name>`` of each slice: the total of all slices of its entity before it."""
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    placed = _with_blocks(
+        totals, keys, slicing,
+        sums=[F.sum(n).alias(n) for n in names],
+        ahead=[lambda w, n=n: F.coalesce(F.sum(n).over(before(w)), F.lit(0)).alias(f"_b_{n}") for n in names],
+        within=[lambda w, n=n: F.coalesce(F.sum(n).over(before(w)), F.lit(0)).alias(f"_s_{n}") for n in names],
+    )
+    return placed.select(*keys, "slice", *[(F.col(f"_b_{n}") + F.col(f"_s_{n}")).alias(f"in_{n}") for n in names])
+
+
+def _slice_edges(edges: DataFrame, keys: list[str], slicing: Slicing) -> DataFrame:
+    """``before_t`` and ``after_t`` of each slice: the time of the row just before it and just after it in its pair's order."""
+    placed = _with_blocks(
+        edges, keys, slicing,
+        sums=[F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t")],
+        ahead=[lambda w: F.lag("last_t").over(w).alias("_b_before"), lambda w: F.lead("first_t").over(w).alias("_b_after")],
+        within=[lambda w: F.lag("last_t").over(w).alias("_s_before"), lambda w: F.lead("first_t").over(w).alias("_s_after")],
+    )
+    return placed.selectExpr(*keys, "slice", "coalesce(_s_before, _b_before) as before_t", "coalesce(_s_after, _b_after) as after_t")
+
+
 def _pair_gaps(df: DataFrame, spec: RollingSpec, hot: DataFrame | None) -> DataFrame:
     """One row per attempt: for each pair, ms since its previous and until its next occurrence."""
     pairs, columns = _pairs(spec), _entity_columns(spec)
@@ -188,11 +229,8 @@ def _pair_gaps(df: DataFrame, spec: RollingSpec, hot: DataFrame | None) -> DataF
             .groupBy("pair", "a", "b", "slice")
             .agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
         )
-        by_slice = W.partitionBy("pair", "a", "b").orderBy("slice")
-        edges = edges.select(
-            *[F.col(c).alias(f"x_{c}") for c in group],
-            F.lag("last_t").over(by_slice).alias("before_t"),
-            F.lead("first_t").over(by_slice).alias("after_t"),
+        edges = _slice_edges(edges, ["pair", "a", "b"], spec.slicing).select(
+            *[F.col(c).alias(f"x_{c}") for c in group], "before_t", "after_t"
         )
         rows = rows.join(
             edges,
@@ -343,10 +381,7 @@ def rolling_features(df: DataFrame, spec: RollingSpec) -> DataFrame:
             .groupBy("fam", "key", "slice")
             .agg(*[F.sum(n).alias(n) for n in names])
         )
-        earlier = W.partitionBy("fam", "key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-        carried_in = totals.select(
-            "fam", "key", "slice", *[F.sum(n).over(earlier).alias(f"in_{n}") for n in names]
-        )
+        carried_in = _slice_carries(totals, ["fam", "key"], names, spec.slicing)
         running = running.join(carried_in, group, "left").selectExpr(
             "fam", "id", "t", "age", *carry, *[f"{n} + coalesce(in_{n}, 0) as {n}" for n in names]
         )

@@ -11,6 +11,7 @@ from cardweir.operators import metrics as M
 from cardweir.operators.joins import assign_bin
 from cardweir.plans.metric_queries import CAMPAIGNS, rounded
 from cardweir.plans.registry import query
+from cardweir.session import materialise
 from cardweir.sources import tables as T
 
 ANCHOR = "coalesce(occurred_at_ms, created_at_ms)"
@@ -263,7 +264,7 @@ def kinds_per_event(spark, sf):
 
 @query("G4_hub_shared_kinds", f"WITH {GRAPH} SELECT hub_id, shared_kinds FROM hk")
 def hub_shared_kinds(spark, sf):
-    return G.hub_shared_kinds(G.edges(_window(spark, sf))).select("hub_id", F.col("shared_kinds").cast("long").alias("shared_kinds"))
+    return G.hub_shared_kinds(materialise(G.edges(_window(spark, sf)), "edges")).select("hub_id", F.col("shared_kinds").cast("long").alias("shared_kinds"))
 
 
 @query(

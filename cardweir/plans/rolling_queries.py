@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardweir.operators import features as X
-from cardweir.operators.joins import prior_events
+from cardweir.operators.joins import prior_counts
 from cardweir.operators.rolling import (
     CHECKOUT,
     DEVICE,
@@ -16,6 +16,7 @@ from cardweir.operators.rolling import (
     SESSION,
     Family,
     RollingSpec,
+    Slicing,
     rolling_features,
 )
 from cardweir.plans.registry import query
@@ -145,6 +146,15 @@ def feature_vector(spark, sf):
     return X.feature_vector(T.attempts(spark, sf))
 
 
+@query(
+    "R10_feature_vector_sliced",
+    ALL_SQL + " SELECT * FROM cur " + " ".join(f"JOIN {f.name} USING (event_id)" for f in FAMILIES),
+)
+def feature_vector_sliced(spark, sf):
+    """The way of hot entities: all merchants, devices and networks are above this share, and their slices make many blocks."""
+    return X.feature_vector(T.attempts(spark, sf), Slicing(share=0.01, minimum_rows=0, sample_modulus=4, slice_ms=60_000, fan=8))
+
+
 @query(
     "R11_feature_invariants",
     "SELECT event_id, 'one_channel' AS rule FROM attempts WHERE amount_subunits % 2 = 0"
@@ -180,9 +190,7 @@ FROM attempts a JOIN attempts b ON a.device_token = b.device_token
 GROUP BY a.device_token""",
 )
 def prior_events_by_device(spark, sf):
-    pairs = prior_events(T.attempts(spark, sf), "device_token", 300)
-    return pairs.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.count_distinct("event_id").alias("events"),
-        F.sum(F.col("t") - F.col("prior_t")).alias("total_gap_ms"),
+    counted = prior_counts(T.attempts(spark, sf), "device_token", 300).filter("prior_count > 0")
+    return counted.groupBy("entity").agg(
+        F.sum("prior_count").alias("pairs"), F.count(F.lit(1)).alias("events"), F.sum("prior_gap_ms").alias("total_gap_ms")
     )

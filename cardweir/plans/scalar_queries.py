@@ -229,10 +229,9 @@ def sha256(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", S.sha256_hex("text").alias("digest"))
 
 
-@query("F12_hmac_sha256", "SELECT call_no, signature FROM webhooks WHERE call_no % 41 <> 0 AND call_no % 37 <> 0 AND call_no % 29 <> 0")
+@query("F12_hmac_sha256", "SELECT call_no, mac AS signature FROM webhooks")
 def hmac(spark, sf):
-    calls = T.webhooks(spark, sf).filter("signature is not null and signature = lower(signature) and not signature like '000000%'")
-    return calls.select("call_no", S.hmac_sha256("body", T.WEBHOOK_KEY).alias("signature"))
+    return T.webhooks(spark, sf).select("call_no", S.hmac_sha256("body", T.WEBHOOK_KEY).alias("signature"))
 
 
 KEY_SQL = (
@@ -332,14 +331,24 @@ r AS (SELECT event_id FROM attempts WHERE channel <> 'mobile_app')"""
 SELECT event_id, 'missing_left' AS problem FROM c WHERE nl IS NULL
 UNION ALL SELECT event_id, 'missing_right' FROM c WHERE nr IS NULL
 UNION ALL SELECT event_id, 'duplicate_left' FROM c WHERE nl > 1
-UNION ALL SELECT event_id, 'duplicate_right' FROM c WHERE nr > 1""",
+UNION ALL SELECT event_id, 'duplicate_right' FROM c WHERE nr > 1
+UNION ALL SELECT event_id, 'order_left' FROM (SELECT *, lag(occurred_at_ms) OVER w AS pt, lag(event_id) OVER w AS pe FROM (
+    SELECT event_id, occurred_at_ms, 2 * event_no AS place FROM attempts WHERE channel <> 'web'
+    UNION ALL SELECT event_id, occurred_at_ms, 2 * event_no + 1 FROM attempts WHERE outcome = 'failed' AND channel <> 'web') x WINDOW w AS (ORDER BY place)) o
+  WHERE occurred_at_ms < pt OR (occurred_at_ms = pt AND event_id <= pe)
+UNION ALL SELECT event_id, 'order_right' FROM (SELECT *, lag(occurred_at_ms) OVER w AS pt, lag(event_id) OVER w AS pe FROM attempts
+    WHERE channel <> 'mobile_app' WINDOW w AS (ORDER BY xor(event_no, 1))) o
+  WHERE occurred_at_ms < pt OR (occurred_at_ms = pt AND event_id <= pe)""",
 )
 def join_anomalies(spark, sf):
+    """Two joined sources: rows missing on a side, repeated, or not ascending by (time, id) as they stand in it."""
     a = T.attempts(spark, sf)
-    left = a.filter("channel <> 'web'").select("event_id").union(
-        a.filter("outcome = 'failed' and channel <> 'web'").select("event_id")
+    some = a.filter("channel <> 'web'")
+    left = some.select("event_id", "occurred_at_ms", (2 * F.col("event_no")).alias("place")).union(
+        some.filter("outcome = 'failed'").select("event_id", "occurred_at_ms", 2 * F.col("event_no") + 1)
     )
-    return J.join_anomalies(left, a.filter("channel <> 'mobile_app'").select("event_id"))
+    right = a.filter("channel <> 'mobile_app'").select("event_id", "occurred_at_ms", F.col("event_no").bitwiseXOR(F.lit(1)).alias("place"))
+    return J.join_anomalies(left, right, "place")
 
 
 @query("J3_lookup_labels", "SELECT a.event_id, amount_subunits, is_attack, scenario_type FROM attempts a JOIN labels_v USING (event_id)")
