@@ -111,6 +111,43 @@ def fit_logistic(df: DataFrame, features: list[str], C: float = LOGISTIC_C) -> L
     return LogisticModel(scaler, tuple(float(c) for c in fitted.coefficients), float(fitted.intercept))
 
 
+def logistic_slopes(df: DataFrame, model: LogisticModel, C: float = LOGISTIC_C) -> DataFrame:
+    """(feature, slope, scale): the penalised loss's derivative by each coefficient and by the intercept, in one pass over the rows.
+
+    ``scale`` is the sum of the absolute terms that make the derivative up, so their ratio tells how near to 0 it is.
+    """
+    s = model.scaler
+    rows = weighted(df.select("y", *s.features)).withColumn("_r", (sigmoid_stable(score_raw(model)) - F.col("y")) * F.col("weight"))
+    terms = {f: (F.col(f) - F.lit(m)) / F.lit(k) * F.col("_r") for f, m, k in zip(s.features, s.mean, s.scale)} | {"intercept": F.col("_r")}
+    penalty = dict(zip(s.features, (c / C for c in model.coefficients)))
+    wide = rows.agg(*[x for i, t in enumerate(terms.values()) for x in (F.sum(t).alias(f"s_{i}"), F.sum(F.abs(t)).alias(f"a_{i}"))])
+    made = ", ".join(f"struct('{f}' as feature, s_{i} + {penalty.get(f, 0.0)!r}D as slope, a_{i} + {abs(penalty.get(f, 0.0))!r}D as scale)" for i, f in enumerate(terms))
+    return wide.select(F.expr(f"inline(array({made}))"))
+
+
+def score_arrays(df: DataFrame, model: BoostedModel, name: str, *keep: str) -> DataFrame:
+    """``keep`` and the model's log-odds computed on arrays in Arrow batches: a second way to score, for checks."""
+    own = [np.array(t.threshold) for t in model.trees]
+    kept = df.select(*keep)
+    width = len(keep)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(width + i).to_numpy(zero_copy_only=False) for i in range(len(model.features))], 1)
+            total = np.zeros(len(x))
+            for tree, threshold, weight in zip(model.trees, own, model.weights, strict=True):
+                at = np.zeros(len(x), np.int64)
+                left, right, feature = np.array(tree.left), np.array(tree.right), np.array(tree.feature)
+                while (left[at] >= 0).any():
+                    goes = x[np.arange(len(x)), feature[at]] <= threshold[at]
+                    at = np.where(left[at] < 0, at, np.where(goes, left[at], right[at]))
+                total += weight * np.array(tree.value)[at]
+            yield pa.record_batch([*[batch.column(i) for i in range(width)], pa.array(total)], [*keep, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return df.select(*keep, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(model.features)]).mapInArrow(of, f"{schema}, {name} double")
+
+
 def candidate_edges(df: DataFrame, features: list[str], edges: int = EDGES) -> list[tuple[float, ...]]:
     """Per feature, the values at evenly spaced exact nearest ranks: at most ``edges`` thresholds, the largest value left out."""
     step = 100 // (edges + 1)
@@ -338,9 +375,9 @@ class Candidate:
         return score_probability(score_raw(self.model), self.platt)
 
 
-def fit_candidates(train: DataFrame, calibration: DataFrame, features: list[str]) -> list[Candidate]:
+def fit_candidates(train: DataFrame, calibration: DataFrame, features: list[str], trees: int = TREES) -> list[Candidate]:
     logistic = fit_logistic(train, features)
-    boosted = fit_boosting(train, features)
+    boosted = fit_boosting(train, features, trees)
     return [
         Candidate(name, m, fit_platt(calibration.select("y", score_raw(m).alias("raw"))))
         for name, m in (("logistic_regression", logistic), ("gradient_boosting", boosted))

@@ -41,6 +41,16 @@ def test_graph_seed(spark):
     assert {r.cluster_id for r in G.clusters(df).collect()} == {"device:d"}
 
 
+def test_one_network_on_all_rows_with_hot_labels(spark):
+    rng = random.Random(9)
+    rows = [(n, n, "allow", f"d{rng.randrange(60)}", "w", f"i{rng.randrange(90)}") for n in range(150)]
+    rows += [(500 + n, n, "allow", f"x{n // 2}", None, f"y{n // 3}") for n in range(40)]
+    df = decisions(spark, rows)
+    plain = {r.hub_id: r.cluster_id for r in G.clusters(df).collect()}
+    hot = {r.hub_id: r.cluster_id for r in G.clusters(df, share=0.01, minimum_rows=0).collect()}
+    assert hot == plain and len({c for h, c in plain.items() if h[7:8] != "x" and "y" not in h}) == 1 and len(set(plain.values())) > 3
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_clusters_equal_union_find(spark, seed):
     rng = random.Random(seed)

@@ -1,12 +1,15 @@
 import pytest
 from fixtures import brute_force, frame, random_rows, row, tok
+from pyspark.sql import functions as F
 
 from cardweir.operators.features import FEATURE_NAMES, feature_vector, feature_violations
-from cardweir.operators.joins import prior_events
+from cardweir.operators.joins import prior_counts, prior_events
 from cardweir.operators.rolling import Slicing
 
 # Every entity is hot and slices are short: windows and runs cross many slices.
 FORCED = Slicing(share=0.0, minimum_rows=0, sample_modulus=1, slice_ms=1_000)
+# Few slices to a block, so that carries come from blocks as well.
+BLOCKS = Slicing(share=0.0, minimum_rows=0, sample_modulus=1, slice_ms=7_000, fan=3)
 HOT_ONLY = Slicing(share=0.2, minimum_rows=0, sample_modulus=1, slice_ms=60_000)
 
 
@@ -18,7 +21,7 @@ def test_names():
     assert len(FEATURE_NAMES) == 75 and list(FEATURE_NAMES) == sorted(FEATURE_NAMES)
 
 
-@pytest.mark.parametrize("slicing", [None, FORCED, HOT_ONLY], ids=["plain", "all-sliced", "hot-sliced"])
+@pytest.mark.parametrize("slicing", [None, FORCED, HOT_ONLY, BLOCKS], ids=["plain", "all-sliced", "hot-sliced", "blocks"])
 def test_equals_brute_force(spark, slicing):
     rows = random_rows()
     want = brute_force(rows)
@@ -47,6 +50,18 @@ def test_seven_events(spark):
     assert at(7)["merchant_prior_attempt_count_300s"] == 0 and at(7)["merchant_prior_attempt_count_3600s"] == 5
 
 
+def test_one_token_on_all_rows_over_many_days(spark):
+    import random
+
+    rng = random.Random(4)
+    day = 86_400_000
+    rows = [row(n, rng.randrange(12) * day + rng.randrange(0, 900_000), rng.choice(["failed", "authorized"]), checkout=rng.randrange(4)) for n in range(180)]
+    want = brute_force(rows)
+    got = vectors(frame(spark, rows), Slicing(share=0.5, minimum_rows=0, sample_modulus=1, slice_ms=60_000, fan=16))
+    for event, values in want.items():
+        assert {k: got[event][k] for k in values} == values
+
+
 def test_window_edges(spark):
     rows = [row(n, t * 1000, device=None) for n, t in ((1, 0), (2, 0), (3, 60), (4, 300), (5, 3600))]
     v = vectors(frame(spark, rows), FORCED)
@@ -71,6 +86,16 @@ def test_interval_join_agrees(spark):
     assert {e: counts.get(e, 0) for e in want} == {e: v["merchant_prior_attempt_count_300s"] for e, v in want.items()}
 
 
+def test_prior_counts_equal_the_pairs(spark):
+    rows = random_rows(250, 6)
+    df = frame(spark, rows).repartition(6)
+    for key in ("merchant_id", "device_token"):
+        pairs = prior_events(df, key, 300).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("t") - F.col("prior_t")).alias("gap")).collect()
+        want = {r.event_id: (r.n, r.gap) for r in pairs}
+        got = {r.event_id: (r.prior_count, r.prior_gap_ms) for r in prior_counts(df, key, 300).collect()}
+        assert {e: v for e, v in got.items() if v[0]} == want and all(v == (0, 0) for e, v in got.items() if e not in want)
+
+
 def test_plan_has_no_cartesian_product(spark):
     plan = feature_vector(frame(spark, random_rows(50, 1)))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
