@@ -56,15 +56,16 @@ NUMBER_WORDS = {
 def facts(ledger: DataFrame) -> DataFrame:
     """Eligible decisions with the prior activity of their four entities, no tokens.
 
-    The context is computed over the whole ledger (a decision is judged against all others), then
-    only eligible decisions keep theirs; at most four rows per decision are folded into columns.
+    A decision is judged against all others that share a token with it; contexts are computed for eligible
+    decisions alone. At most four rows per decision are folded into columns.
     """
-    eligible = eligible_for_explanation(ledger).filter("calibrated_probability is not null").select(
+    scored = eligible_for_explanation(ledger).filter("calibrated_probability is not null")
+    eligible = scored.select(
         "id", "calibrated_probability", "decision_threshold", "risk_decision",
         F.coalesce("action", F.lit("review")).alias("action"), "fail_safe_reason",
         "amount_subunits", "currency", "channel",
     )
-    context = entity_context(ledger, exclude_self=True)
+    context = entity_context(ledger, exclude_self=True, targets=scored)
     columns = []
     for k, _ in CONTEXT_KINDS:
         columns.append(f"max(if(kind = '{k}', token is not null, null)) as {k}_present")
@@ -211,15 +212,16 @@ def malformed(summary: str, caveat: str, factors: str) -> Column:
 def screen_explanations(drafts: DataFrame, known: DataFrame) -> DataFrame:
     """(id, reason): the first check a draft fails, null when it passes all.
 
-    ``drafts`` has id, summary, caveat and factors; ``known`` is ``facts``.
+    ``drafts`` has id, summary, caveat and factors; ``known`` is ``facts``. A draft for a decision without facts, unknown or not to be
+    explained, is refused as malformed.
     """
-    joined = drafts.join(known, "id").withColumns({"entailed": factor_codes(), "permitted": permitted_numbers()})
+    joined = drafts.join(known.withColumn("known", F.lit(True)), "id", "left").withColumns({"entailed": factor_codes(), "permitted": permitted_numbers()})
 
     def either(check) -> Column:
         return check("summary") | F.coalesce(check("caveat"), F.lit(False))
 
     reason = (
-        F.when(malformed("summary", "caveat", "factors"), "malformed_response")
+        F.when(F.col("known").isNull() | malformed("summary", "caveat", "factors"), "malformed_response")
         .when(
             has_duplicates("factors") | (F.size(unsupported_factors("factors", "entailed")) > 0),
             "unsupported_factor",

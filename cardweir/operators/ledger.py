@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cardweir.functions.scalars import anchor_time, audit_decimal, clamp, int_div, plain_decimal_text
 from cardweir.operators.joins import join_on_entity
-from cardweir.session import materialise
+from cardweir.session import materialise, new_table_path
 
 MAXIMUM_PAGE = 500
+#: Rows before a page that a top-k may hold in one task.
+DEEP = 5_000
 MAXIMUM_ATTEMPTS = 3
 
 # Entity kinds and their ledger columns; the merchant is context, never a graph hub.
@@ -54,9 +57,46 @@ def summary_view(df: DataFrame) -> DataFrame:
     )
 
 
+class PageIndex:
+    """The order of a ledger's pages, so that a page far down opens only the slices it lies in.
+
+    Built once for a filter: rows are range-partitioned newest first and written, each slice in a folder of its own, with their number
+    per slice beside. A page is then a range of places: the slices that hold it are known from the numbers, and only these are read.
+    """
+
+    def __init__(self, df: DataFrame, action=None, since_ms=None) -> None:
+        kept = ledger_filter(df, action, since_ms)
+        self.spark, self.schema = df.sparkSession, kept.schema
+        self.path = new_table_path(self.spark, "pages")
+        kept.repartitionByRange(*newest_first()).withColumn("slice", F.spark_partition_id()).write.partitionBy("slice").parquet(self.path)
+        counted = [(r.slice, r["count"]) for r in self._read().groupBy("slice").count().orderBy("slice").collect()]  # one row per slice
+        self.starts, self.total = [], 0
+        for number, n in counted:
+            self.starts.append((number, self.total, n))
+            self.total += n
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("slice", IntegerType())])).parquet(self.path)
+
+    def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
+        """The rows at places offset to offset + limit, with the total the filter matches."""
+        limit, offset = max(1, min(limit, MAXIMUM_PAGE)), max(0, offset)
+        touched = [(k, start) for k, start, n in self.starts if start < offset + limit and offset < start + n]
+        rows = self._read().filter(F.col("slice").isin([k for k, _ in touched]))
+        first = touched[0][1] if touched else 0
+        # the slices before hold exactly ``first`` rows, so the rest of the offset lies in the first slice read
+        page = rows.orderBy(*newest_first()).offset(offset - first if touched else 0).limit(limit).drop("slice")
+        return summary_view(page).withColumn("total", F.lit(self.total).cast("long"))
+
+
 def ledger_page(df: DataFrame, limit: int = 50, offset: int = 0, action=None, since_ms=None) -> DataFrame:
-    """One page newest first, each row with the total the filter matches (a top-k report)."""
+    """One page newest first, each row with the total the filter matches (a top-k report).
+
+    The first pages are a top-k. From ``DEEP`` on the page comes from its slices, so no task holds the rows before it.
+    """
     limit, offset = max(1, min(limit, MAXIMUM_PAGE)), max(0, offset)
+    if offset >= DEEP:
+        return PageIndex(df, action, since_ms).page(limit, offset)
     kept = ledger_filter(df, action, since_ms)
     total = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
     page = kept.orderBy(*newest_first()).offset(offset).limit(limit)
@@ -123,14 +163,22 @@ def entity_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def entity_context(df: DataFrame, exclude_self: bool) -> DataFrame:
+def entity_context(df: DataFrame, exclude_self: bool, targets: DataFrame | None = None) -> DataFrame:
     """Per decision and entity kind: how often the token was decided on, and how it went.
 
     With ``exclude_self`` the decision itself is left out by id: counts drop by one and, where it
     was the earliest or latest, the next one takes its place. Tokens are aggregated before they meet
     the decisions again; a token that holds a third of the ledger is joined by broadcast.
+
+    ``targets``: the decisions of ``df`` whose context is wanted. Totals are built for their tokens alone, from all decisions
+    that carry one, and only the targets meet them again.
     """
+    asked = df if targets is None else targets
+    own = entity_rows(asked)
     rows = entity_rows(df)
+    if targets is not None:
+        # rows of other tokens go before anything is shuffled or summed
+        rows = rows.join(own.select("kind", "token").distinct(), ["kind", "token"], "left_semi")
     totals = materialise(entity_totals(rows), "entity-totals")
     if exclude_self:
         # The runner-up at each end: the same minimum with the extreme row removed.
@@ -145,7 +193,7 @@ def entity_context(df: DataFrame, exclude_self: bool) -> DataFrame:
         )
         # joined below in parts that each read it
         totals = materialise(totals.join(second, ["kind", "token"]), "entity-totals")
-    joined = join_on_entity(rows, totals, ["kind", "token"], "n")
+    joined = join_on_entity(own, totals, ["kind", "token"], "n")
     if exclude_self:
         joined = joined.selectExpr(
             "id", "kind", "token",
@@ -166,7 +214,7 @@ def entity_context(df: DataFrame, exclude_self: bool) -> DataFrame:
         "span_seconds": int_div(F.col("last_seen_ms") - F.col("first_seen_ms"), F.lit(1000)),
     })
     absent = ", ".join(f"if({c} is null, '{k}', null)" for k, c in CONTEXT_KINDS)
-    missing = df.select("id", F.explode(F.expr(f"array_compact(array({absent}))")).alias("kind")).selectExpr(
+    missing = asked.select("id", F.explode(F.expr(f"array_compact(array({absent}))")).alias("kind")).selectExpr(
         "id", "kind", "string(null) as token", "0L as decision_count", "0L as denied_count",
         "0L as review_count", "bigint(null) as first_seen_ms", "bigint(null) as last_seen_ms",
         "bigint(null) as span_seconds",

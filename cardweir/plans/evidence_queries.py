@@ -133,8 +133,13 @@ def permitted_numbers(spark, sf):
 
 NUMERAL = r"\p{Nd}[\p{Nd},]*(?:[.]\p{Nd}+)?"
 WORD = r"[\p{L}\p{N}_]+"
-WORDS_SQL = "[" + ", ".join(f"'{w}'" for w in E.NUMBER_WORDS) + "]"
-VALUES_SQL = "[" + ", ".join(f"'{n}'" for n in E.NUMBER_WORDS.values()) + "]"
+WORDS_SQL = (
+    "['two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen',"
+    " 'sixteen', 'seventeen', 'eighteen', 'nineteen', 'twenty', 'thirty', 'forty', 'fifty', 'hundred', 'thousand']"
+)
+VALUES_SQL = (
+    "['2', '3', '4', '5', '6', '7', '8', '9', '10', '11', '12', '13', '14', '15', '16', '17', '18', '19', '20', '30', '40', '50', '100', '1000']"
+)
 
 
 def unsupported_sql(text: str, allowed: str) -> str:
@@ -221,7 +226,8 @@ SELECT id, CASE WHEN length(summary) < 20 OR length(summary) > 400 THEN 'malform
   WHEN len(factors) = 2 OR len(list_filter(factors, lambda x: NOT list_contains(codes, x))) > 0 THEN 'unsupported_factor'
   WHEN {forbidden_sql('summary')} THEN 'forbidden_content' WHEN {mismatch_sql('summary', 'currency')} THEN 'unsupported_number'
   WHEN {contradiction_sql('summary')} THEN 'contradicts_decision'
-  WHEN len({unsupported_sql('summary', 'permitted')}) > 0 THEN 'unsupported_number' END AS reason FROM dr""",
+  WHEN len({unsupported_sql('summary', 'permitted')}) > 0 THEN 'unsupported_number' END AS reason FROM dr
+UNION ALL SELECT id, 'malformed_response' FROM ledger WHERE id NOT IN (SELECT id FROM fx)""",
 )
 def screen_explanations(spark, sf):
     known = _facts(spark, sf)

@@ -66,6 +66,15 @@ def ledger_page(spark, sf):
     return L.ledger_page(T.ledger(spark, sf), 50, 100, action="allow")
 
 
+@query(
+    "W1_ledger_page_deep",
+    f"SELECT {SUMMARY_SQL}, (SELECT count(*) FROM ledger) AS total FROM ledger ORDER BY {ANCHOR} DESC, ledger.created_at_ms DESC, id LIMIT 500 OFFSET 5100",
+)
+def ledger_page_deep(spark, sf):
+    """A page in the middle of the ledger, from the slices that hold it."""
+    return L.ledger_page(T.ledger(spark, sf), 500, 5100)
+
+
 @query(
     "W2_latest_explanation",
     """SELECT risk_decision_id, attempt_number, status, summary, failure_reason, greatest(3 - used, 0) AS attempts_remaining

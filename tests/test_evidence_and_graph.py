@@ -142,3 +142,41 @@ def test_sensitive_values_and_keys(spark):
     doc = '{"a":[{"cardNumber":1,"x":"\\"email\\":"}],"billing address":{"b":2}}'
     keys = Q.prohibited_keys(spark.createDataFrame([(1, doc)], "i int, j string"), "j", "i").collect()
     assert {r.normalised for r in keys} == {"card_number", "billing_address"}
+
+
+def test_pages_from_slices_equal_plain_pages(spark, sf, monkeypatch, uncoalesced):
+    from cardweir.sources import tables as T
+
+    ledger = T.ledger(spark, sf).repartition(5)
+    index = L.PageIndex(ledger, action="allow")
+    assert len(index.starts) > 1
+    for limit, offset in ((50, 0), (7, 333), (500, index.total - 3), (50, index.total), (1, index.starts[1][1] - 1), (9, index.starts[1][1] - 4)):
+        plain = [r.decision_id for r in L.ledger_page(ledger, limit, offset, action="allow").collect()]
+        assert [r.decision_id for r in index.page(limit, offset).collect()] == plain
+    plan = index.page(2, index.starts[1][1])._jdf.queryExecution().executedPlan().toString()
+    assert "slice" in plan.split("PartitionFilters")[1][:80]
+    want = L.ledger_page(ledger, 20, 150).collect()
+    monkeypatch.setattr(L, "DEEP", 100)
+    assert L.ledger_page(ledger, 20, 150).collect() == want
+    assert L.ledger_page(ledger.limit(0), 20, 150).collect() == []
+
+
+def test_context_of_targets_equals_that_of_all(spark):
+    rng = random.Random(3)
+    df = decisions(spark, [(n, n % 40, rng.choice(["deny", "allow", "review"]), rng.choice([None, "d1", "d2"]), f"w{rng.randrange(9)}", f"i{rng.randrange(30)}") for n in range(120)])
+    targets = df.filter("action = 'deny'")
+    ids = {r.id for r in targets.collect()}
+    key = lambda r: tuple(sorted(r.asDict().items(), key=lambda x: x[0]))
+    for own in (True, False):
+        want = {key(r) for r in L.entity_context(df, own).collect() if r.id in ids}
+        assert {key(r) for r in L.entity_context(df, own, targets).collect()} == want
+
+
+def test_drafts_without_facts_are_refused(spark, sf):
+    from cardweir.sources import tables as T
+
+    known = E.facts(T.ledger(spark, sf))
+    ids = [r.id for r in known.limit(2).collect()]
+    drafts = spark.createDataFrame([(i, "x", "", ["device_reuse"]) for i in [*ids, "dec_unknown"]], "id string, summary string, caveat string, factors array<string>")
+    got = {r.id: r.reason for r in E.screen_explanations(drafts, known).collect()}
+    assert set(got) == {*ids, "dec_unknown"} and got["dec_unknown"] == "malformed_response"

@@ -51,7 +51,7 @@ def test_strict_times(spark):
     assert got == want
 
 
-def test_strict_times_over_many_slices_and_after_a_carry(spark):
+def test_strict_times_over_many_slices_and_after_a_carry(spark, uncoalesced):
     import random
 
     rng = random.Random(2)

@@ -26,7 +26,7 @@ def test_threshold_choice(spark, targets, p, fp, fn, threshold):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_band_equals_exhaustive_search(spark, seed):
+def test_band_equals_exhaustive_search(spark, seed, uncoalesced):
     rng = random.Random(seed)
     rows = [(int(rng.random() < .3), rng.choice([.05, .1, .2, .35, .5, .7, .71, .9])) for _ in range(60)]
     costs = P.Costs(rng.choice([5, 25]), rng.choice([1, 10]), rng.choice([1, 3]))
@@ -49,7 +49,7 @@ def test_band_equals_exhaustive_search(spark, seed):
     assert outcome.cost_units == got.cost_units and outcome.review_count == got.review_count
 
 
-def test_rows_without_a_score_are_reviewed_in_every_count(spark):
+def test_rows_without_a_score_are_reviewed_in_every_count(spark, uncoalesced):
     rows = [(i % 7 == 0, None if i % 11 == 0 else (i * 37 % 100) / 100) for i in range(900)]
     df = spark.createDataFrame([(int(y), p) for y, p in rows], "y int, p double")
     for lower, upper in ((0.2, 0.7), (0.5, 0.5)):

@@ -86,7 +86,7 @@ def test_interval_join_agrees(spark):
     assert {e: counts.get(e, 0) for e in want} == {e: v["merchant_prior_attempt_count_300s"] for e, v in want.items()}
 
 
-def test_prior_counts_equal_the_pairs(spark):
+def test_prior_counts_equal_the_pairs(spark, uncoalesced):
     rows = random_rows(250, 6)
     df = frame(spark, rows).repartition(6)
     for key in ("merchant_id", "device_token"):
