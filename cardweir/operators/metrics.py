@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardweir.operators.ordering import nearest_ranks, running_totals
-from cardweir.operators.policy import scored_rows
+from cardweir.operators.policy import counted, number_of, score_table, scored_rows
+from cardweir.session import materialise
 from cardweir.sources.tables import LEGITIMATE_SCENARIOS
 
 # Fixed value: the float64 epsilon the log loss clips with.
@@ -14,11 +15,11 @@ LOG_LOSS_EPSILON = 2.220446049250313e-16
 
 
 def confusion(df: DataFrame, y: str, flagged: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.expr(f"count_if({y} = 1 and {flagged}) as true_positive"),
-        F.expr(f"count_if({y} = 0 and {flagged}) as false_positive"),
-        F.expr(f"count_if({y} = 0 and not {flagged}) as true_negative"),
-        F.expr(f"count_if({y} = 1 and not {flagged}) as false_negative"),
+    return counted(df).groupBy(*by).agg(
+        number_of(f"{y} = 1 and {flagged}", "true_positive"),
+        number_of(f"{y} = 0 and {flagged}", "false_positive"),
+        number_of(f"{y} = 0 and not {flagged}", "true_negative"),
+        number_of(f"{y} = 1 and not {flagged}", "false_negative"),
     )
 
 
@@ -62,7 +63,7 @@ def threshold_metrics(
 
 def score_histogram(df: DataFrame) -> DataFrame:
     """(p, attacks, legitimate) per distinct probability: everything ranking metrics need."""
-    return scored_rows(df).groupBy("p").agg(F.sum("y").alias("attacks"), F.sum(F.lit(1) - F.col("y")).alias("legitimate"))
+    return counted(scored_rows(df)).groupBy("p").agg(F.expr("sum(_n * y) as attacks"), F.expr("sum(_n * (1 - y)) as legitimate"))
 
 
 def cumulative_scores(df: DataFrame, with_ends: bool = False) -> DataFrame:
@@ -130,9 +131,9 @@ def average_precision_stepwise(df: DataFrame, *order) -> DataFrame:
 def calibration_losses(df: DataFrame) -> DataFrame:
     e = LOG_LOSS_EPSILON
     q = f"least(greatest(p, {e!r}D), 1 - {e!r}D)"
-    return df.selectExpr(
-        "(p - y) * (p - y) as squared", f"-if(y = 1, ln({q}), ln(1 - {q})) as loss"
-    ).agg(F.avg("squared").alias("brier_score"), F.avg("loss").alias("log_loss"))
+    return counted(df).filter("p is not null").selectExpr(
+        "_n", "(p - y) * (p - y) as squared", f"-if(y = 1, ln({q}), ln(1 - {q})) as loss"
+    ).agg(*[F.expr(f"try_divide(sum(_n * {c}), double(sum(_n))) as {name}") for c, name in (("squared", "brier_score"), ("loss", "log_loss"))])
 
 
 def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -140,13 +141,14 @@ def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
     spark = df.sparkSession
     # Edges are index / bins as doubles; the nominal bin is corrected against them.
     nominal = f"least(bigint(floor(p * {bins})), {bins - 1})"
-    placed = df.selectExpr("y", "p", f"{nominal} as b").selectExpr(
-        "y", "p",
+    placed = counted(df).selectExpr("y", "p", "_n", f"{nominal} as b").selectExpr(
+        "y", "p", "_n",
         f"case when p < b / {float(bins)}D then b - 1"
         f" when b < {bins - 1} and p >= (b + 1) / {float(bins)}D then b + 1 else b end as bin",
     )
     filled = placed.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_probability"), F.avg("y").alias("attack_rate")
+        F.sum("_n").alias("n"),
+        F.expr("sum(_n * p) / double(sum(_n)) as mean_probability"), F.expr("sum(_n * y) / double(sum(_n)) as attack_rate"),
     )
     edges = spark.range(bins).selectExpr(
         "id as bin", f"id / {float(bins)}D as lower_inclusive", f"(id + 1) / {float(bins)}D as upper_value",
@@ -171,11 +173,9 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
 def hard_negative_slices(df: DataFrame, threshold: float) -> DataFrame:
     """False positives per legitimate scenario; a scenario without rows keeps its line."""
     found = (
-        df.filter("y = 0")
+        counted(df).filter("y = 0")
         .groupBy("scenario_type")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.expr(f"count_if(p >= {threshold!r}D) as flagged")
-        )
+        .agg(F.sum("_n").alias("n"), number_of(f"p >= {threshold!r}D", "flagged"))
     )
     names = df.sparkSession.createDataFrame([(s,) for s in LEGITIMATE_SCENARIOS], "scenario_type string")
     return names.join(found, "scenario_type", "left").selectExpr(
@@ -203,7 +203,7 @@ def campaigns(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def campaign_metrics(df: DataFrame, threshold: float) -> DataFrame:
-    c = campaigns(df, threshold)
+    c = materialise(campaigns(df, threshold), "campaigns")
     summary = c.agg(
         F.count(F.lit(1)).alias("campaign_count"),
         F.count("first_flagged_ms").alias("detected_campaign_count"),
@@ -242,13 +242,24 @@ def flagged_histogram(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def evaluation_report(df: DataFrame, threshold: float) -> DataFrame:
-    """One row: threshold metrics, ranking, losses, calibration error and campaign measures."""
+    """One row: threshold metrics, ranking, losses, calibration error, campaign measures; reliability bins and hard-negative
+    slices as arrays.
+
+    The scored rows are read twice: for their score table, from which everything but campaigns follows, and for the
+    campaigns, whose times no count of scores holds.
+    """
+    table = score_table(df, "scenario_type")
+    bins = materialise(reliability(table), "bins")
+    slices = hard_negative_slices(table, threshold)
     parts = [
-        threshold_metrics(df, threshold),
-        ranking_metrics(df),
-        calibration_losses(df),
-        expected_calibration_error(reliability(df)),
+        threshold_metrics(table, threshold),
+        ranking_metrics(table),
+        calibration_losses(table),
+        expected_calibration_error(bins),
         campaign_metrics(df, threshold),
+        # a row per bin and per scenario
+        bins.agg(F.array_sort(F.collect_list(F.struct(*bins.columns))).alias("reliability")),
+        slices.agg(F.array_sort(F.collect_list(F.struct(*slices.columns))).alias("hard_negative_slices")),
     ]
     out = parts[0].withColumn("one", F.lit(1))
     for part in parts[1:]:

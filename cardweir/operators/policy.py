@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import bp_half_up, rate
 from cardweir.operators.ordering import ahead, every, in_slices, systematic_sample
+from cardweir.session import materialise
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,23 @@ def fail_safe_action(risk_decision: str, reason: str) -> Column:
     return F.when(F.col(reason).isNotNull(), "review").otherwise(F.col(risk_decision))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """Rows with ``_n``, how many scored rows each stands for: itself, unless it comes from a ``score_table``."""
+    return df if "_n" in df.columns else df.withColumn("_n", F.lit(1).cast("long"))
+
+
+def number_of(condition: str, name: str) -> Column:
+    return F.expr(f"coalesce(sum(if({condition}, _n, 0L)), 0L) as {name}")
+
+
+def score_table(df: DataFrame, *keep: str) -> DataFrame:
+    """Scored rows by (p, y) and the columns to keep, with their number ``_n``, written once.
+
+    What takes scored rows takes this table as well. Tables of parts add up: their union is a table of the whole.
+    """
+    return materialise(counted(scored_rows(df)).groupBy("p", "y", *keep).agg(F.sum("_n").alias("_n")), "score-table")
+
+
 #: Comparing would count such a score as the highest of all.
 _UNSOUND = "isnan(p) or abs(p) = double('infinity')"
 
@@ -68,18 +86,18 @@ def evaluate_band(df: DataFrame, lower: float, upper: float, costs: Costs = Cost
 
     Counts follow ``band_route``, row by row: what has no score is reviewed. Scores that are no finite numbers are refused.
     """
-    routed = scored_rows(df).select("y", band_route("p", lower, upper).alias("r"))
+    routed = counted(scored_rows(df)).select("y", "_n", band_route("p", lower, upper).alias("r"))
     counts = routed.agg(
-        F.expr("count_if(r = 'allow') as allow_count"),
-        F.expr("count_if(r = 'review') as review_count"),
-        F.expr("count_if(r = 'deny') as deny_count"),
-        F.expr("count_if(r = 'deny' and y = 1) as true_positive"),
-        F.expr("count_if(r = 'deny' and y = 0) as false_positive"),
-        F.expr("count_if(r = 'allow' and y = 0) as true_negative"),
-        F.expr("count_if(r = 'allow' and y = 1) as false_negative"),
-        F.expr("count(1) as row_count"),
-        F.expr("count_if(y = 1) as attack_count"),
-        F.expr("count_if(y = 0) as legitimate_count"),
+        number_of("r = 'allow'", "allow_count"),
+        number_of("r = 'review'", "review_count"),
+        number_of("r = 'deny'", "deny_count"),
+        number_of("r = 'deny' and y = 1", "true_positive"),
+        number_of("r = 'deny' and y = 0", "false_positive"),
+        number_of("r = 'allow' and y = 0", "true_negative"),
+        number_of("r = 'allow' and y = 1", "false_negative"),
+        number_of("true", "row_count"),
+        number_of("y = 1", "attack_count"),
+        number_of("y = 0", "legitimate_count"),
     )
     return counts.withColumn(
         "cost_units",
@@ -142,8 +160,8 @@ def select_band(
         "p", "0L as n", "0L as attacks", "1 as candidate"
     )
     histogram = (
-        scored.groupBy("p")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("attacks"))
+        counted(scored).groupBy("p")
+        .agg(F.sum("_n").alias("n"), F.expr("sum(_n * y) as attacks"))
         .withColumn("candidate", F.lit(0))
         .unionByName(candidates)
         .groupBy("p")
@@ -210,7 +228,7 @@ def boundary_diagnostics(df: DataFrame, threshold: float) -> DataFrame:
     Rows without a score tie nowhere; a score that is no finite number is an error.
     """
     t = f"{float(threshold)!r}D"
-    histogram = finite_scores(df).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("attacks"))
+    histogram = counted(finite_scores(df)).groupBy("p").agg(F.sum("_n").alias("n"), F.expr("sum(_n * y) as attacks"))
     return histogram.agg(
         F.count(F.lit(1)).alias("distinct_probability_count"),
         F.expr(f"max(if(p < {t}, p, null)) as nearest_below"),
@@ -266,7 +284,11 @@ def compare_policies(
     df: DataFrame, lower: float, upper: float, threshold: float,
     costs: Costs = Costs(), gates: Gates = Gates(),
 ) -> DataFrame:
-    """Incumbent and banded outcome on the same rows, with gates and boundary context, one row."""
+    """Incumbent and banded outcome on the same rows, with gates and boundary context, one row.
+
+    The rows are read once: all that follows comes from their score table.
+    """
+    df = score_table(df)
     incumbent = evaluate_single_threshold(df, threshold, costs)
     banded = evaluate_band(df, lower, upper, costs)
     parts = {

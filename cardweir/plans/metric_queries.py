@@ -205,17 +205,32 @@ def flagged_histogram(spark, sf):
 @query(
     "A18_evaluation_report",
     f"""WITH {RANKED}, {BINS}, {CAMPAIGNS.replace('0.95', '0.62')}
-SELECT t.*, x.*, c.*, l.*, e.* FROM ({THRESHOLD_SQL}) t,
+SELECT t.*, x.*, c.*, l.*, e.*, rb.*, hn.* FROM ({THRESHOLD_SQL}) t,
 (SELECT round(sum(a / pos::DOUBLE * prec), 9) AS average_precision,
   round(sum(a / pos::DOUBLE * (prec + prev_prec) / 2), 9) AS pr_auc_trapezoidal,
   round(sum(l / neg::DOUBLE * (tp + prev_tp) / 2.0::DOUBLE / pos), 9) AS roc_auc FROM r) x,
 (SELECT {CAMPAIGN_COLUMNS} FROM k) c,
 (SELECT round(avg((p - y) * (p - y)), 9) AS brier_score, {LOG_LOSS} AS log_loss FROM scored) l,
-(SELECT {ECE} FROM b) e""",
+(SELECT {ECE} FROM b) e,
+(SELECT string_agg(bin || ':' || bin_count || ':' || coalesce(CAST(CAST(round(mean_probability * 1000000) AS BIGINT) AS VARCHAR), '') || ':'
+    || coalesce(CAST(CAST(round(attack_rate * 1000000) AS BIGINT) AS VARCHAR), ''), ',' ORDER BY bin) AS reliability FROM b) rb,
+(SELECT string_agg(s || ':' || n || ':' || f, ',' ORDER BY s) AS hard_negative_slices FROM (
+  SELECT names.s, count(p) AS n, count(p) FILTER (WHERE p >= 0.62) AS f
+  FROM (SELECT unnest(['flash_sale', 'legitimate_failure', 'legitimate_retry', 'normal', 'shared_infrastructure']) AS s) names
+  LEFT JOIN scored ON scenario_type = names.s AND y = 0 GROUP BY names.s) q) hn""",
 )
 def evaluation_report(spark, sf):
+    """The report with its bins and slices, these as text: rates in millionths."""
+    def text(column, fields):
+        return F.expr(f"array_join(transform({column}, x -> concat_ws(':', {', '.join(fields)})), ',')").alias(column)
+
+    millionth = "coalesce(string(bigint(round(x.{c} * 1000000))), '')".format
+    report = M.evaluation_report(T.scored(spark, sf), THRESHOLD)
     return rounded(
-        M.evaluation_report(T.scored(spark, sf), THRESHOLD),
+        report.withColumns({
+            "reliability": text("reliability", ["x.bin", "x.bin_count", millionth(c="mean_probability"), millionth(c="attack_rate")]),
+            "hard_negative_slices": text("hard_negative_slices", ["x.scenario_type", "x.row_count", "x.false_positive_count"]),
+        }),
         "average_precision", "pr_auc_trapezoidal", "roc_auc", "brier_score", "log_loss",
         "expected_calibration_error",
     )
