@@ -12,6 +12,7 @@ from cardweir.operators.joins import join_on_entity
 from cardweir.session import materialise, new_table_path
 
 MAXIMUM_PAGE = 500
+DAY_MS = 86_400_000
 #: Rows before a page that a top-k may hold in one task.
 DEEP = 5_000
 MAXIMUM_ATTEMPTS = 3
@@ -26,7 +27,8 @@ CONTEXT_KINDS = (*GRAPH_KINDS, ("merchant", "merchant_id"))
 
 
 def with_anchor(df: DataFrame) -> DataFrame:
-    return df.withColumn("anchor_ms", anchor_time())
+    """``anchor_ms`` as a column; a clustered ledger has it stored."""
+    return df if "anchor_ms" in df.columns else df.withColumn("anchor_ms", anchor_time())
 
 
 def newest_first() -> list[Column]:
@@ -34,11 +36,20 @@ def newest_first() -> list[Column]:
     return [anchor_time().desc(), F.col("created_at_ms").desc(), F.col("id")]
 
 
+def filed_since(df: DataFrame, since_ms: Column | int) -> Column:
+    """Rows filed at or after a time. On a clustered ledger this prunes day folders and skips row groups by ``anchor_ms``."""
+    since = F.lit(since_ms) if isinstance(since_ms, int) else since_ms
+    if "anchor_ms" not in df.columns:
+        return anchor_time() >= since
+    kept = F.col("anchor_ms") >= since
+    return kept & (F.col("day") >= F.floor(since / DAY_MS)) if "day" in df.columns else kept
+
+
 def ledger_filter(df: DataFrame, action: str | None = None, since_ms=None) -> DataFrame:
     if action is not None:
         df = df.filter(F.col("action") == action)
     if since_ms is not None:
-        df = df.filter(anchor_time() >= since_ms)
+        df = df.filter(filed_since(df, since_ms))
     return df
 
 
@@ -106,7 +117,7 @@ def ledger_page(df: DataFrame, limit: int = 50, offset: int = 0, action=None, si
 def since_window(df: DataFrame, now_ms: Column, seconds: int, low: int, high: int) -> DataFrame:
     """Rows of the last ``seconds`` (clamped) before ``now``; ``now`` is given, never the clock."""
     window = clamp(F.lit(seconds), F.lit(low), F.lit(high))
-    return df.filter(anchor_time() >= now_ms - window * 1000)
+    return df.filter(filed_since(df, now_ms - window * 1000))
 
 
 def latest_time(df: DataFrame) -> Column:
