@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardweir.llm.common import Block, Hasher, Scratch, column, mix64, slices
+from cardweir.llm.common import Block, Hasher, Scratch, column, mix64, slices, trimmed
 from cardweir.llm.components import components
 
 SHINGLE = 5
@@ -93,6 +93,7 @@ def _sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(grams[ends[i] : ends[i + 1]]) for i in range(len(ends) - 1)]
 
 
+@trimmed
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
@@ -108,6 +109,7 @@ def _chunks(total: np.ndarray, level: int) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
 
 
+@trimmed
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -136,6 +138,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _prefixes(rank: np.ndarray, parts: np.ndarray):
     """doc_id, key, n, class, group and prefix of each document, given the order's classes of rarity."""
 
+    @trimmed
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
@@ -168,6 +171,7 @@ def _prefixes(rank: np.ndarray, parts: np.ndarray):
     return of
 
 
+@trimmed
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (token, grp): those whose token has several groups, each with the token's first group.
 
@@ -194,6 +198,7 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x) for x in (token[out], grp[out], n[out], grp[first[out]], n[first[out]])], ["token", "grp", "n", "lead", "lead_n"])
 
 
+@trimmed
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text_a", 2_000_000):
@@ -411,6 +416,7 @@ class _Join:
         return full.groupBy("token", "x", "y").applyInArrow(_links_in_block, "a long, b long")
 
 
+@trimmed
 def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):

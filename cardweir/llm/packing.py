@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardweir.llm.common import Scratch, column, slices
-from cardweir.llm.tokens import REMEMBERED, encode_column, tokenizer_path
+from cardweir.llm.common import Scratch, column, slices, trimmed
+from cardweir.llm.tokens import REMEMBERED, encode_column, forget, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,6 +39,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     end = end_id.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
+    @trimmed
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -54,6 +55,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                         at = stop
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, types, strict=False)], names)
+        forget(remembered)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(of, PIECES + ", ids binary" * with_ids)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardweir.llm.common import Block, Hasher, slices
+from cardweir.llm.common import Block, Hasher, slices, trimmed
 
 FEATURES = (
     "symbols", "bars", "marks", "upper", "digits", "stops", "repeated", "repeated_apart", "word_length", "short_words",
@@ -102,6 +102,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
+@trimmed
 def _arrow_statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         rows = [statistics(column_of(part)) for part in slices(pa.record_batch([batch], ["text"]), "text")]
@@ -170,6 +171,7 @@ def from_moments(sums: np.ndarray) -> Model:
 
 
 def score_column(model: Model, text: Column) -> Column:
+    @trimmed
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = [model.score(statistics(column_of(p))) for p in slices(pa.record_batch([batch], ["text"]), "text")]

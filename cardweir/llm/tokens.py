@@ -152,6 +152,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget(remembered: int) -> None:
+    """At the end of a task: drop this worker's encoders, unless it is to remember much for a job of its own."""
+    if remembered <= REMEMBERED:
+        _ENCODERS.clear()
+
+
 def encode_column(texts: pa.Array, path: str, remembered: int = REMEMBERED) -> list[bytes]:
     own = encoder(path)
     own.remembered = remembered
