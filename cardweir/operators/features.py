@@ -91,9 +91,12 @@ def feature_vector(df: DataFrame, slicing: Slicing | None = Slicing()) -> DataFr
     return rolling_features(prepared, spec).select("event_id", "occurred_at_ms", *FEATURE_NAMES)
 
 
-def feature_violations(features: DataFrame) -> DataFrame:
-    """(event_id, rule) for each broken invariant; empty on sound features. One pass, no shuffle."""
-    c = F.col
+def broken_invariants(prefix: str = "") -> Column:
+    """The names of the invariants that a row of features breaks; ``prefix`` leads to the features, as ``features.`` does."""
+
+    def c(name: str) -> Column:
+        return F.col(f"{prefix}{name}")
+
     rules: list[tuple[str, Column]] = [
         ("one_channel", c("channel_web") + c("channel_mobile_web") + c("channel_mobile_app") != 1),
         (
@@ -135,5 +138,9 @@ def feature_violations(features: DataFrame) -> DataFrame:
             for column in columns[1:]:
                 total = total + column
             rules.append((f"{f.name}_missing_has_history", (c(f"{f.name}_token_missing") == 1) & (total > 0)))
-    broken = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
-    return features.select("event_id", F.explode(broken).alias("rule"))
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
+
+
+def feature_violations(features: DataFrame) -> DataFrame:
+    """(event_id, rule) for each broken invariant; empty on sound features. One pass, no shuffle."""
+    return features.select("event_id", F.explode(broken_invariants()).alias("rule"))

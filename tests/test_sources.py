@@ -50,3 +50,56 @@ def test_contradicting_reference_is_an_error(spark):
 def test_reports_are_published_once_read_back(spark):
     out = S.publish_report(spark.sql("select 1L as b, 'x' as a"), new_table_path(spark, "test-report")).first()
     assert out.report_id == hashlib.sha256(b'{"a":"x","b":1}').hexdigest()
+
+
+def test_strict_feature_lines(spark):
+    from cardweir.operators.features import FEATURE_NAMES, feature_vector
+
+    path = new_table_path(spark, "test-features")
+    good = json.loads(S.feature_lines(feature_vector(frame(spark, random_rows(1, 2))), list(FEATURE_NAMES)).first().value)
+    f = good["features"]
+    cases = {
+        json.dumps(good): None,
+        json.dumps({**good, "more": 1}): "keys",
+        json.dumps({**good, "features": {**f, "more": 1}}): "feature_keys",
+        json.dumps({**good, "features": {k: v for k, v in f.items() if k != "utc_hour"}}): "feature_missing",
+        json.dumps({**good, "features": {**f, "channel_mobile_web": 1}}): "feature_invariant",
+        json.dumps({**good, "features": {**f, "merchant_prior_failure_count_60s": 9}}): "feature_invariant",
+        json.dumps({**good, "event_id": "evt_1"}): "event_id_shape",
+    }
+    spark.createDataFrame([(k,) for k in cases], "value string").write.text(path)
+    accepted, rejected = S.read_features(spark, path)
+    assert {r.value: r.reject_reason for r in rejected.collect()} == {k: v for k, v in cases.items() if v}
+    assert accepted.count() == 1 and set(FEATURE_NAMES) <= set(accepted.columns)
+
+
+def test_clustered_ledgers_prune_by_day_and_time(spark, sf):
+    from cardweir.operators import ledger as L
+    from cardweir.sources import ledger as G
+    from cardweir.sources import tables as T
+
+    plain = T.ledger(spark, sf)
+    spread = plain.union(plain.selectExpr(*[f"{c} - {5 * G.DAY_MS} as {c}" if c in ("occurred_at_ms", "created_at_ms") else c for c in plain.columns]))
+    path = new_table_path(spark, "test-ledger")
+    G.write_clustered(spread, path)
+    stored = G.read_clustered(spark, path)
+    since = T.START_MS + 3_600_000
+    kept = L.ledger_filter(stored, since_ms=since)
+    assert sorted(r.id for r in kept.collect()) == sorted(r.id for r in L.ledger_filter(spread, since_ms=since).collect())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(anchor_ms" in plan
+    assert stored.count() == spread.count()
+    page = [r.decision_id for r in L.ledger_page(stored, 30, 10).collect()]
+    assert page == [r.decision_id for r in L.ledger_page(spread, 30, 10).collect()]
+
+
+def test_score_tables_of_parts_add_up(spark, sf):
+    from cardweir.operators import metrics as M
+    from cardweir.operators import policy as P
+    from cardweir.sources import tables as T
+
+    rows = T.scored(spark, sf)
+    both = P.score_table(rows.filter("split = 'train'"), "scenario_type").unionByName(P.score_table(rows.filter("split <> 'train'"), "scenario_type"))
+    for measure in (lambda d: M.threshold_metrics(d, 0.6), M.ranking_metrics, M.calibration_losses, lambda d: P.evaluate_band(d, 0.4, 0.7), P.select_band, M.reliability, lambda d: M.hard_negative_slices(d, 0.6)):
+        for a, b in zip(measure(rows).collect(), measure(both).collect(), strict=True):
+            assert [pytest.approx(v, rel=1e-12) if isinstance(v, float) else v for v in a] == list(b)
