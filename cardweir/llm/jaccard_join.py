@@ -348,13 +348,19 @@ class _Join:
             named = scratch.write(named, "named")
             open_ = self._open(runs, named)
             if last:
-                count = open_.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
-                hot = count.filter(F.col("rows") >= HOT_ROWS)
-                cold = open_.join(count.filter(F.col("rows") < HOT_ROWS), "token", "left_semi")
-                more = self.links(self._pairs(cold).union(self._pairs_in_groups(named)).distinct()).union(self._hot_links(open_, hot))
+                # a group is one more token that its classes share; tokens that few have give pairs, those that many have are compared in blocks
+                grouped = scratch.write(self._open_groups(named), "grouped")
+                of_all = open_.select("token", "cls", "comp").union(grouped)
+                count = scratch.write(of_all.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "count")
+                hot, usual = count.filter(F.col("rows") >= HOT_ROWS), count.filter(F.col("rows") < HOT_ROWS)
+                cold = open_.join(usual, "token", "left_semi")
+                pairs = self._pairs(cold).union(self._pairs_in_groups(grouped.join(usual, "token", "left_semi")))
+                more = self.links(pairs.distinct()).union(self._hot_links(of_all, hot))
             else:
                 more = self.links(self._leader_pairs(open_).distinct())
             more = scratch.write(more, "links")
+            if last:
+                scratch.drop(grouped, count)
             links = scratch.write(links.union(more), "links")
             if not more.isEmpty():
                 label = components(links, scratch)
@@ -397,13 +403,17 @@ class _Join:
         return pairs.filter(f"count >= {_needed('na', 'nb')}").select(F.col("clsa").alias("a"), F.col("clsb").alias("b"))
 
     @staticmethod
-    def _pairs_in_groups(named: DataFrame) -> DataFrame:
-        """Pairs of different components within one group: all their prefix shingles are the same."""
+    def _open_groups(named: DataFrame) -> DataFrame:
+        """(token, cls, comp) of the classes of groups that several components have; the token is the group."""
         several = named.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
-        near = named.join(several, "grp", "left_semi")
-        x = near.select("grp", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-        y = near.select("grp", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-        return x.join(y, "grp").filter("a < b and ca <> cb").select("a", "b")
+        return named.join(several, "grp", "left_semi").select(F.col("grp").alias("token"), "cls", "comp")
+
+    @staticmethod
+    def _pairs_in_groups(grouped: DataFrame) -> DataFrame:
+        """Pairs of different components within small groups: all their prefix shingles are the same."""
+        x = grouped.select("token", F.col("cls").alias("a"), F.col("comp").alias("ca"))
+        y = grouped.select("token", F.col("cls").alias("b"), F.col("comp").alias("cb"))
+        return x.join(y, "token").filter("a < b and ca <> cb").select("a", "b")
 
     def _hot_links(self, open_: DataFrame, hot: DataFrame) -> DataFrame:
         """Links among the classes of shingles that very many have, block against block."""

@@ -147,3 +147,26 @@ def test_rows_without_id_and_ids_on_several_texts(frame, prose):
     assert len(chosen) == 1 and chosen[0][0] is None
     want = [(3, one), (12, four), (None, ""), (None, None), (13, None), (-7, "apart"), (None, "two words"), *chosen]
     assert left == sorted(want, key=str)
+
+
+def test_templates_of_one_group_are_compared_in_blocks(spark, frame, prose, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "HOT_BLOCK", 5)
+    head = " ".join(f"head{i}" for i in range(25))
+    tails = [" ".join(f"tail{k}x{i}" for i in range(7)) for k in range(16)]
+    # the rarest shingles of each template are the head's: tails stand in many other texts, with the words before them
+    rows = [(k, f"{head} {t}") for k, t in enumerate(tails)] + [(20, f"{head} {tails[3]} more")]
+    rows += [(100 + 70 * k + j, f"{' '.join(head.split()[-4:])} {t} {prose(70 * k + j, 40)}") for k, t in enumerate(tails) for j in range(70)]
+    seen, plain = [], jaccard_join._Join._pairs_in_groups
+
+    def pairs(grouped):
+        out = plain(grouped)
+        seen.append((grouped.count(), out.count()))
+        return out
+
+    opened, whole = [], jaccard_join._Join._open_groups
+    monkeypatch.setattr(jaccard_join._Join, "_pairs_in_groups", staticmethod(pairs))
+    monkeypatch.setattr(jaccard_join._Join, "_open_groups", staticmethod(lambda named: opened.append(whole(named).count()) or whole(named)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_components(frame(rows)).collect())
+    assert got == brute_components(rows) and dict((d, c) for d, _, c in got)[20] == 3
+    assert opened[-1] >= 16 and seen[-1] == (0, 0)
