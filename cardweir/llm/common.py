@@ -25,6 +25,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows that travel to a Python worker at once. They are whole documents, so Spark's own default of 10,000 is tens of megabytes,
+#: held by the JVM and by the worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no more than ``BATCH_ROWS`` rows travel at once in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Owner of the tables an operator writes to the shared folder.
 
@@ -34,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.label, self.paths = spark, label, {}
+        small_batches(spark)
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

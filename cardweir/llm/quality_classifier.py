@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardweir.llm.common import Block, Hasher, slices, trimmed
+from cardweir.llm.common import Block, Hasher, slices, small_batches, trimmed
 
 FEATURES = (
     "symbols", "bars", "marks", "upper", "digits", "stops", "repeated", "repeated_apart", "word_length", "short_words",
@@ -141,6 +141,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("y"))
     x = docs.filter(in_training(F.col("doc_id"))).select("doc_id", statistics_column(F.col("text")).alias("x"))
     rows = known.join(x, "doc_id").select("y", "x").mapInArrow(_moments, "y int, k int, v double")
