@@ -97,23 +97,6 @@ ORDER_ALLOWLIST = (
 # A whole number as a number, or as text; the decision reads 1.0 and "1" as 1.
 WHOLE = r"^[ ]*[+-]?[0-9]+([.]0+)?[ ]*$"
 
-# Checks one entry ``f`` of a rule array; patterns stay literals, so each compiles once.
-VALID = f"""case
-  when f.x is null or schema_of_variant(f.x) = 'VOID' then f.optional
-  when f.want = 'count' then schema_of_variant(f.x) = 'BIGINT'
-    and coalesce(try_variant_get(f.x, '$', 'bigint') between 0 and f.limit, false)
-  when f.want = 'loose_count' then coalesce(f.s rlike '{WHOLE}' and try_cast(f.s as decimal(20,0)) between 0 and f.limit, false)
-    and schema_of_variant(f.x) not like 'OBJECT%' and schema_of_variant(f.x) not like 'ARRAY%'
-  when f.want = 'flag' then schema_of_variant(f.x) = 'BOOLEAN'
-  when f.want = 'object' then schema_of_variant(f.x) like 'OBJECT%'
-  when schema_of_variant(f.x) <> 'STRING' then false
-  when f.want like '=%' then f.s = substr(f.want, 2)
-  when length(f.s) > f.limit or (f.s = '' and f.want <> 'loose_token') then false
-  when f.want = 'identifier' then f.s rlike '{IDENTIFIER}'
-  when f.want = 'currency' then f.s rlike '{CURRENCY}'
-  else f.s rlike '{OPTIONAL_TOKEN}' end"""
-
-
 def _at(path: str) -> str:
     return f"try_variant_get(v, '{path}', 'variant')"
 
@@ -126,30 +109,52 @@ def _number(path: str) -> str:
     return f"try_cast(try_cast(trim({_text(path)}) as decimal(20,0)) as bigint)"
 
 
-def _is_object(path: str) -> str:
-    return f"coalesce(schema_of_variant({_at(path)}) like 'OBJECT%', false)"
+def _fields(path: str, names: list[str]) -> str:
+    """The named members of the object at ``path`` in one pass, null for what is absent; null if no object is there. Each look at
+    a path searches the members of every object on its way, so rules on many members take them from here."""
+    return f"try_variant_get(v, '{path}', 'struct<{', '.join(f'{n}: variant' for n in names)}>')"
 
 
-def _entries(rules: tuple[Rule, ...], at: str) -> str:
-    rows = ", ".join(
-        f"named_struct('name', '{r.name}', 'want', '{r.want}', 'limit', {r.limit}L,"
-        f" 'optional', {str(r.optional).lower()}, 'x', {_at(f'{at}.{r.name}')}, 's', {_text(f'{at}.{r.name}')})"
-        for r in rules
-    )
-    return f"array({rows})"
+def _valid(rule: Rule) -> str:
+    """Whether the member of ``e`` that ``rule`` names is what it must be."""
+    x = f"e.{rule.name}"
+    s, kind = f"try_variant_get({x}, '$', 'string')", f"schema_of_variant({x})"
+    if rule.want == "count":
+        fits = f"{kind} = 'BIGINT' and coalesce(try_variant_get({x}, '$', 'bigint') between 0 and {rule.limit}L, false)"
+    elif rule.want == "loose_count":
+        fits = (
+            f"coalesce({s} rlike '{WHOLE}' and try_cast({s} as decimal(20,0)) between 0 and {rule.limit}L, false)"
+            f" and {kind} not like 'OBJECT%' and {kind} not like 'ARRAY%'"
+        )
+    elif rule.want == "flag":
+        fits = f"{kind} = 'BOOLEAN'"
+    elif rule.want == "object":
+        fits = f"try_variant_get({x}, '$', 'struct<_: variant>') is not null"
+    elif rule.want.startswith("="):
+        fits = f"if({kind} <> 'STRING', false, {s} = '{rule.want[1:]}')"
+    else:
+        pattern = {"identifier": IDENTIFIER, "currency": CURRENCY}.get(rule.want, OPTIONAL_TOKEN)
+        bad = f"length({s}) > {rule.limit}L" + ("" if rule.want == "loose_token" else f" or {s} = ''")
+        fits = f"if({kind} <> 'STRING' or {bad}, false, {s} rlike '{pattern}')"
+    return f"(case when {x} is null or is_variant_null({x}) then {str(rule.optional).lower()} else {fits} end)"
+
+
+def _all_valid(rules: tuple[Rule, ...], path: str) -> str:
+    fields = f"coalesce({_fields(path, [r.name for r in rules])}, named_struct({', '.join(f"'{r.name}', cast(null as variant)" for r in rules)}))"
+    return f"forall(array({fields}), e -> {' and '.join(_valid(r) for r in rules)})"
 
 
 def envelope_valid() -> str:
     contains = _at("$.contains")
     return (
-        f"v is not null and forall({_entries(ENVELOPE_RULES, '$')}, f -> {VALID}) and ({contains} is null"
+        f"v is not null and {_all_valid(ENVELOPE_RULES, '$')} and ({contains} is null"
         f" or (coalesce(schema_of_variant({contains}) in ('ARRAY<STRING>', 'ARRAY<VOID>'), false)"
         " and size(try_variant_get(v, '$.contains', 'array<string>')) <= 20))"
     )
 
 
 def payment_valid() -> str:
-    return f"forall({_entries(PAYMENT_RULES, '$.payload.payment.entity')}, f -> {VALID})"
+    return _all_valid(PAYMENT_RULES, "$.payload.payment.entity")
 
 
 def parsed_once(df: DataFrame, text: str) -> DataFrame:
@@ -190,19 +195,14 @@ def screen(calls: DataFrame, key: bytes, maximum_bytes: int = MAXIMUM_BODY_BYTES
     return parsed.withColumn("reject_reason", reason)
 
 
-def _members(rules: tuple[Rule, ...], redactions: tuple[str, ...], at: str) -> str:
-    """JSON members of the allowlisted keys that are present, and marks for the sensitive ones."""
-    kept = (
-        f"transform(filter({_entries(rules, at)}, f -> f.x is not null),"
-        f""" f -> concat('"', f.name, '":', if({VALID}, to_json(f.x), '"{REDACTED}"')))"""
-    )
-    if not redactions:
-        return kept
-    marks = ", ".join(f"named_struct('name', '{r}', 'x', {_at(f'{at}.{r}')})" for r in redactions)
-    return (
-        f"concat({kept}, transform(filter(array({marks}), f -> f.x is not null),"
-        f""" f -> concat('"', f.name, '":"{REDACTED}"')))"""
-    )
+def _members(rules: tuple[Rule, ...], redactions: tuple[str, ...], path: str) -> str:
+    """JSON members of the allowlisted keys that are present, and marks for the sensitive ones, as one text; null if no object is there."""
+    members = [
+        f"""if(e.{r.name} is null, null, concat('"{r.name}":', if({_valid(r)}, to_json(e.{r.name}), '"{REDACTED}"')))""" for r in rules
+    ]
+    members += [f"""if(e.{r} is null, null, '"{r}":"{REDACTED}"')""" for r in redactions]
+    fields = _fields(path, [*[r.name for r in rules], *redactions])
+    return f"transform(array({fields}), e -> if(e is null, null, concat_ws(',', {', '.join(members)})))[0]"
 
 
 def sanitised_payload() -> Column:
@@ -224,14 +224,14 @@ def sanitised_payload() -> Column:
     for kind, rules, redactions in (
         ("payment", PAYMENT_ALLOWLIST, PAYMENT_REDACTIONS), ("order", ORDER_ALLOWLIST, ORDER_REDACTIONS),
     ):
-        at = f"$.payload.{kind}.entity"
-        inner = f"concat_ws(',', {_members(rules, redactions, at)})"
-        entities.append(f"""if({_is_object(at)}, concat('"{kind}":{{"entity":{{', {inner}, '}}}}'), null)""")
+        inner = _members(rules, redactions, f"$.payload.{kind}.entity")
+        entities.append(f"""concat('"{kind}":{{"entity":{{', {inner}, '}}}}')""")
     payload = (
-        f"if({_is_object('$.payload.payment.entity')} or {_is_object('$.payload.order.entity')},"
-        f" array(concat('\"payload\":{{', concat_ws(',', {', '.join(entities)}), '}}')), array())"
+        f"transform(array(concat_ws(',', {', '.join(entities)})),"
+        " w -> if(w = '', array(), array(concat('\"payload\":{', w, '}'))))[0]"
     )
-    event = _members(EVENT_ALLOWLIST, (), "$")
+    # an envelope without any of its keys adds no member
+    event = f"filter(array({_members(EVENT_ALLOWLIST, (), '$')}), w -> w <> '')"
     return F.expr(
         f"concat('{{', concat_ws(',', concat({event}, {account}, {contents}, {payload})), '}}')"
     )

@@ -68,3 +68,20 @@ def test_first_delivery_wins(spark):
     assert facts == {"w": 500, "v": 500}
     audit = {r.provider_event_id: r for r in H.audit_rows(d).collect()}
     assert audit["w"].raw_body_sha256 == hashlib.sha256(a.encode()).hexdigest() and audit["w"].processing_result == "processed"
+
+
+def test_members_of_a_payment_are_read_in_one_pass():
+    """Each look at a path searches all members of the objects on its way."""
+    assert H.payment_valid().count("try_variant_get(v") == 1
+    assert H._members(H.PAYMENT_ALLOWLIST, H.PAYMENT_REDACTIONS, "$.payload.payment.entity").count("try_variant_get(v") == 1
+
+
+def test_payloads_without_the_objects_they_should_hold(spark):
+    texts = [body(payload=[1]), body(payload={"payment": {"entity": None}}), body(payload={"payment": {"entity": {}}}), body(payload=...), "[]", "{}"]
+    df = H.parsed_once(spark.createDataFrame([(t,) for t in texts], "body string"), "body")
+    got = [json.loads(r.s) for r in df.select(H.sanitised_payload().alias("s")).collect()]
+    assert ["payload" in g for g in got] == [False, False, True, False, False, False]
+    assert got[2]["payload"] == {"payment": {"entity": {}}}
+    assert got[4] == got[5] == {"account_id": "[REDACTED]", "contains": []}
+    valid = [r.ok for r in df.selectExpr(f"{H.payment_valid()} as ok").collect()]
+    assert valid == [False] * 6
