@@ -103,3 +103,23 @@ def test_score_tables_of_parts_add_up(spark, sf):
     for measure in (lambda d: M.threshold_metrics(d, 0.6), M.ranking_metrics, M.calibration_losses, lambda d: P.evaluate_band(d, 0.4, 0.7), P.select_band, M.reliability, lambda d: M.hard_negative_slices(d, 0.6)):
         for a, b in zip(measure(rows).collect(), measure(both).collect(), strict=True):
             assert [pytest.approx(v, rel=1e-12) if isinstance(v, float) else v for v in a] == list(b)
+
+
+def test_written_lines_take_little_room_and_read_back(spark):
+    from pathlib import Path
+
+    from cardweir.plans.source_queries import _written
+
+    lines = spark.range(20).selectExpr("concat(id, repeat(' ', 1100000)) as value")
+    path = _written(lines, "padded-lines")
+    assert sum(f.stat().st_size for f in Path(path).glob("part-*")) < 1_000_000
+    assert spark.read.text(path).filter("length(value) > 1100000").count() == 20
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    from cardweir.sources.tables import spread_rows
+
+    rows = spark.range(1000).coalesce(1)
+    dealt = spread_rows(rows, 50, "id")
+    assert dealt.rdd.getNumPartitions() == 20
+    assert max(dealt.rdd.glom().map(len).collect()) < 200 and dealt.count() == 1000
