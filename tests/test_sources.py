@@ -116,6 +116,17 @@ def test_written_lines_take_little_room_and_read_back(spark):
     assert spark.read.text(path).filter("length(value) > 1100000").count() == 20
 
 
+def test_vectors_meet_their_numbers_before_they_become_lines(spark, sf, monkeypatch):
+    from cardweir.plans import source_queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "_written", lambda lines, label: seen.append(lines) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        Q.read_features(spark, sf)
+    plan = seen[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.index("to_json") < plan.index("Join")
+
+
 def test_rows_are_dealt_by_their_number(spark):
     from cardweir.sources.tables import spread_rows
 
