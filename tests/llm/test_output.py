@@ -275,3 +275,33 @@ def _brute(rows):
     from test_dedup import brute_components
 
     return brute_components(rows)
+
+
+def test_queries_together_find_what_each_finds_alone():
+    """Blocks of several queries are evaluated by one product, of few blocks and of most; scores are those of brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    # words of their own in the first blocks, so that some queries need few blocks and others most
+    texts = [" ".join([*rng.choice(words[:40] if i > 128 else words, 12), f"own{i % 7}"]) for i in range(1000)]
+    shard = topk_search.Shard(np.arange(len(texts)), pa.array(texts), len(texts), 13.0)
+    assert len(shard.dense)
+    doc, term, _, _ = topk_search._terms(pa.array([*texts[:40], "", "unheard of"]))
+    asked = [(t := np.sort(term[doc == i]), 1 + (t % 97) / 50) for i in range(42)]
+    taken = []
+    evaluated = shard._evaluated
+    shard._evaluated = lambda w, picks: taken.append(len(picks)) or evaluated(w, picks)
+    together = shard.search_many(asked, 5)
+    assert taken == [42]
+    for (terms, weights), (found, score) in zip(asked, together, strict=True):
+        weight = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+        brute = sorted((-round(sum(weight.get(int(shard.vocabulary[c]), 0) * x for c, x in zip(shard.code[a:b], shard.impact[a:b], strict=True)), 6), i) for i, (a, b) in enumerate(zip(shard.own, shard.own[1:], strict=False)))
+        assert [i for _, i in brute[:5] if _ < 0] == found.tolist() or np.allclose([-x for x, _ in brute[:5]], score, atol=2e-6)
+        alone = shard.search(terms, weights, 5)
+        assert alone[0].tolist() == found.tolist() and alone[1].tolist() == score.tolist()
+    few = [np.array([3, 70]), None]
+    values, place = evaluated(np.ones((2, len(shard.dense)), np.float32), few)
+    assert values.shape[1] == 2 * topk_search.BLOCK_DOCS
+    assert np.allclose(values[0, place(few[0])], shard.dense[:, few[0]].sum(0))
