@@ -276,13 +276,14 @@ def feature_distributions(features: DataFrame, names: list[str]) -> DataFrame:
     """min, max, p50, p95, p99 and zero count of each feature, exactly.
 
     Values are counted per (feature, value) before anything is ordered, so the unpivot's rows are
-    combined map-side.
+    combined map-side. The counts are written once: ranks and zeros both read them, and the features behind them are not computed again.
     """
-    histogram = (
+    histogram = materialise(
         features.select(*names)
         .unpivot([], names, "feature", "value")
         .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("w"))
+        .agg(F.count(F.lit(1)).alias("w")),
+        "feature-values",
     )
     ranks = nearest_ranks(histogram, "value", "w", {"p50": 50, "p95": 95, "p99": 99}, ("feature",))
     zeros = histogram.filter("value = 0").selectExpr("feature", "w as zeros")
