@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from cardweir.functions.scalars import int_div
 from cardweir.operators.ordering import order_violations, running_totals
+from cardweir.sources.tables import WIDE_ROWS_PER_TASK
 
 
 def join_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """One label per feature row, by event id."""
+    """One label per feature row, by event id.
+
+    Vectors compress so well that partitions merged by their shuffled bytes hold very many of them; here they follow the rows, of which
+    the labels have as many.
+    """
+    rows = labels.count()
+    if rows > WIDE_ROWS_PER_TASK:
+        features = features.repartition(-(-rows // WIDE_ROWS_PER_TASK), "event_id")
     return features.join(labels.drop("occurred_at_ms"), "event_id")
 
 
