@@ -125,6 +125,9 @@ def _pairs(spec: RollingSpec) -> list[tuple[str, str]]:
 
 #: Rows that one task sorts, of any of the three shuffles. Partitions follow the number of attempts, so what a task holds does not.
 ROWS_PER_TASK = 500_000
+#: Parts of such a task in the shuffle by entity: entities just below the sliced ones are as large as a task, and several of them meet
+#: in one by chance. In finer partitions a task holds little beside its largest entity.
+ENTITY_PARTS = 4
 
 
 def _partitions(df: DataFrame, attempts: int, rows_each: int) -> int:
@@ -134,6 +137,18 @@ def _partitions(df: DataFrame, attempts: int, rows_each: int) -> int:
     return needed if needed > usual else max(1, min(usual, needed * 4))
 
 
+#: Most partitions of a shuffle whose rows Spark writes as they come; for more, a task gathers its rows in memory to sort them.
+UNSORTED_PARTITIONS = 200
+
+
+def _dealt(df: DataFrame, attempts: int, rows_each: int, event_id: str) -> DataFrame:
+    """Attempts in as many tasks as the ``rows_each`` rows of each need, before they are made. The splits of a file follow its bytes, and the
+    shuffle after this gathers all that a task makes of its split."""
+    needed = -(-attempts * rows_each // ROWS_PER_TASK)
+    tasks = max(min(needed, UNSORTED_PARTITIONS), needed // 8)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, event_id)
+
+
 def _structs(rows: list[str]) -> str:
     return f"inline(array({', '.join(f'named_struct({r})' for r in rows)}))"
 
@@ -348,8 +363,11 @@ def rolling_features(df: DataFrame, spec: RollingSpec) -> DataFrame:
         f"{spec.event_id} as id", f"{spec.time_ms} as t", f"int({spec.failed}) as failed",
         *columns, *carry,
     )
+    steps = sum(1 + len(f.windows) for f in spec.families)
     if pairs:
-        base = base.join(_pair_gaps(df, spec, hot, attempts), "id", "left")
+        base = base.join(_pair_gaps(_dealt(df, attempts, len(pairs), spec.event_id), spec, hot, attempts), "id", "left")
+    else:
+        base = _dealt(base, attempts, steps, "id")
 
     # One row per family; an attempt's first family with a key takes the carried columns along.
     entries = []
@@ -385,11 +403,10 @@ def rolling_features(df: DataFrame, spec: RollingSpec) -> DataFrame:
         group.append("slice")
     else:
         deltas = deltas.withColumn("kind", F.lit(UNSPLIT).cast("tinyint"))
-    steps = sum(1 + len(f.windows) for f in spec.families)
     deltas = (
         # the end of a window is only summed: what names the attempt stays with its arrival
         deltas.select(*group, "t", "kind", "failed", "starts", "ends", *[_arriving(c) for c in ("id", "age", *taken)])
-        .repartition(_partitions(df, attempts, steps), *group)
+        .repartition(_partitions(df, attempts, steps * ENTITY_PARTS), *group)
         .withColumn("kind", F.explode(F.expr(f"if(kind = {UNSPLIT}Y, {_kinds(spec)}, array(kind))")))
         .withColumn("t", F.expr(_place(spec)))
     )

@@ -113,6 +113,27 @@ def test_partitions_follow_the_rows(spark, monkeypatch, slicing):
     assert set(got) == set(want) and all(got[e][k] == v for e, values in want.items() for k, v in values.items())
 
 
+@pytest.mark.parametrize("slicing", [None, FORCED], ids=["plain", "all-sliced"])
+def test_attempts_are_dealt_before_they_become_several_rows(spark, monkeypatch, slicing):
+    """One split of a file is more than one task, also without distinct counts, and groups of entities get finer partitions than rows need."""
+    from cardweir.operators import rolling
+
+    monkeypatch.setattr(rolling, "ROWS_PER_TASK", 100)
+    rows = random_rows()
+    df = frame(spark, rows).coalesce(1)
+    assert [rolling._dealt(df, n, 10, "event_id").rdd.getNumPartitions() for n in (10, 1_000, 10_000, 100_000)] == [1, 100, 200, 1250]
+    asked = []
+    partitions = rolling._partitions
+    monkeypatch.setattr(rolling, "_partitions", lambda df, attempts, each: asked.append(each) or partitions(df, attempts, each))
+    families = tuple(rolling.Family(f.name, f.key, (300,)) for f in (rolling.MERCHANT, rolling.DEVICE))
+    out = rolling.rolling_features(df, rolling.RollingSpec(families, slicing=slicing))
+    assert asked == [4 * rolling.ENTITY_PARTS, 2] and rolling.ENTITY_PARTS > 1
+    want, got = brute_force(rows), {r.event_id: r.asDict() for r in out.collect()}
+    names = [c for c in out.columns if c.endswith("_rate_300s_bp")]
+    assert len(names) == 2 and set(got) == set(want)
+    assert all(got[e][c] == want[e][c] for e in want for c in names)
+
+
 def test_two_sums_in_one_long_keep_their_signs(spark):
     from cardweir.operators import rolling
 
