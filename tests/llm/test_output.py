@@ -305,3 +305,20 @@ def test_queries_together_find_what_each_finds_alone():
     values, place = evaluated(np.ones((2, len(shard.dense)), np.float32), few)
     assert values.shape[1] == 2 * topk_search.BLOCK_DOCS
     assert np.allclose(values[0, place(few[0])], shard.dense[:, few[0]].sum(0))
+
+
+def test_queries_travel_packed():
+    """A word of many queries is named once, and each query comes out as it went in."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    df = {int(t): int(rng.integers(1, 9)) for t in rng.integers(-(1 << 62), 1 << 62, 50)}
+    asked = [(20 * i, [int(t) for t in rng.permutation(list(df))[: 1 + i % 30]]) for i in range(150)]
+    kinds = pa.list_(pa.int64())
+    table = pa.table({"query_id": [q for q, _ in asked], "terms": pa.array([t for _, t in asked], kinds), "dfs": pa.array([[df[x] for x in t] for _, t in asked], kinds)})
+    packs = pa.concat_tables([topk_search._pack(table.slice(0, 100)), topk_search._pack(table.slice(100))])
+    assert len(packs) == 2 and len(packs.column("terms")[0]) <= len(df)
+    out = list(topk_search._unpack(packs))
+    assert [len(x) for x in out] == [64, 36, 50]
+    assert [(q, t.tolist(), d.tolist()) for x in out for q, t, d in x] == [(q, sorted(t), [df[y] for y in sorted(t)]) for q, t in asked]
