@@ -322,3 +322,69 @@ def test_queries_travel_packed():
     out = list(topk_search._unpack(packs))
     assert [len(x) for x in out] == [64, 36, 50]
     assert [(q, t.tolist(), d.tolist()) for x in out for q, t, d in x] == [(q, sorted(t), [df[y] for y in sorted(t)]) for q, t in asked]
+
+
+def test_a_lane_gives_k_rows_of_a_query_from_all_its_shards(prose, monkeypatch):
+    """What a lane passes on does not grow with its shards, is exact, and lanes and blocks in one task stay apart."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(topk_search, "SHARD_BYTES", 3_000)
+    rows = [(i, prose(i, 5 + i % 60, 150) + f" kind{i % 3} common") for i in range(400)] + [(400 + i, prose(20, 25, 150)) for i in range(30)]
+    terms, df = {}, Counter()
+    for d, text in rows:
+        _, term, _, _ = topk_search._terms(pa.array([text]))
+        terms[d] = term.tolist()
+        df.update(terms[d])
+    asked = [d for d, _ in rows if d % 20 == 0]
+    kinds = pa.list_(pa.int64())
+    queries = pa.table({"query_id": asked, "terms": pa.array([terms[d] for d in asked], kinds), "dfs": pa.array([[df[x] for x in terms[d]] for d in asked], kinds)})
+    pack = topk_search._pack(topk_search._alike(queries, len(rows) / 40))
+    assert sorted(pack.column("ids")[0].as_py()) == asked
+    mean = sum(len(t.split()) for _, t in rows) / len(rows)
+    key = lambda n, lane, at: {"block": pa.array([0] * n, pa.int32()), "lane": pa.array([lane] * n, pa.int32()), "at": pa.array([at] * n, pa.int32())}
+    batches = []
+    for lane in (0, 1):
+        own = [r for r in rows if r[0] % 2 == lane]
+        docs = pa.table({**key(len(own), lane, 1), "doc_id": pa.array([d for d, _ in own], pa.int64()), "text": [t for _, t in own]})
+        lists = pa.table({**key(1, lane, 0), **{c: pack.column(c) for c in pack.column_names}})
+        batches += pa.concat_tables([lists, docs], promote_options="default").combine_chunks().to_batches(90)
+    built = []
+    shard = topk_search.Shard
+    monkeypatch.setattr(topk_search, "Shard", lambda *a, **b: built.append(len(a[0])) or shard(*a, **b))
+    got = [r for b in topk_search._searched(len(rows), mean, 10)(iter(batches)) for r in b.to_pylist()]
+    assert len(built) > 12 and sum(built) == len(rows)
+    assert max(Counter(r["query_id"] for r in got).values()) <= 2 * 10
+    best = defaultdict(list)
+    for r in got:
+        best[r["query_id"]].append((-round(r["score"], 5), r["doc_id"]))
+    want = defaultdict(list)
+    for q, _, d, _ in brute_search(rows):
+        want[q].append(d)
+    assert {q: [d for _, d in sorted(x)[:10]] for q, x in best.items()} == dict(want)
+
+
+def test_kinds_and_known_scores_change_no_result(prose):
+    """Documents ordered by kind are found as in any order, and so are those of at least a score that is known."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    # two languages of common words, and documents without any
+    texts = [" ".join([*(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 80, 30)), f"own{i % 9}"]) for i in range(1500)] + ["", "alone", texts_ := "a1 b1 a2 b2"] + [texts_] * 20
+    ids = np.arange(len(texts)) * 3
+    plain = topk_search.Shard(ids, pa.array(texts), len(texts), 31.0)
+    kinds = topk_search.Shard(ids, pa.array(texts), len(texts), 31.0, alike=True)
+    assert sorted(kinds.ids.tolist()) == ids.tolist() and kinds.ids.tolist() != ids.tolist()
+    doc, term, _, _ = topk_search._terms(pa.array([*texts[:50], texts_, "", "alone"]))
+    asked = [(t := np.sort(term[doc == i]), 1 + (t % 97) / 50) for i in range(53)]
+    one = plain.search_many(asked, 10)
+    spans = []
+    evaluated = kinds._evaluated
+    kinds._evaluated = lambda w, picks: spans.extend(kinds._spans(picks)) or evaluated(w, picks)
+    two = kinds.search_many(asked, 10)
+    assert any(len(queries) < len(asked) for _, _, queries in spans)  # blocks of another kind are not evaluated
+    least = np.array([score[-1] if len(score) == 10 else -1.0 for _, score in one])
+    three = kinds.search_known([kinds._known(*x) for x in asked], 10, least)
+    for a, b, c in zip(one, two, three, strict=True):
+        assert plain.ids[a[0]].tolist() == kinds.ids[b[0]].tolist() == kinds.ids[c[0]].tolist()
+        assert a[1].tolist() == b[1].tolist() == c[1].tolist()
