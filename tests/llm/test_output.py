@@ -228,6 +228,29 @@ def test_search_against_brute_force(spark, frame, prose, monkeypatch):
     assert topk_search.search_all(frame([]).limit(0)).count() == 0
 
 
+def test_documents_are_dealt_for_one_block_of_queries_at_a_time(spark, frame, prose, monkeypatch):
+    """Blocks of queries do not multiply the documents that lie in shuffles: each block's best are written before the next begins, and its shuffle files go."""
+    from cardweir.llm.common import Scratch
+    from cardweir.session import FREE_SHUFFLES
+
+    rows = [(i, prose(i, 5 + i % 60, 150) + " common") for i in range(400)]
+    written, write = [], Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk_search, "PACK_QUERIES", 3)
+    out = topk_search.search_all(frame(rows))
+    blocks = [n for name, n in written if name.startswith("block-")]
+    assert len(blocks) == 4 and sum(blocks) == out.count() == 200  # the k best of a query only
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # what is returned deals nothing any more
+    assert spark.conf.get(FREE_SHUFFLES, "false") == "false"
+
+
 @pytest.mark.parametrize("n_terms", [500, 2000, 6000])
 def test_search_of_long_queries_with_near_copies(n_terms):
     import numpy as np
