@@ -11,7 +11,7 @@ from cardweir.operators import joins as J
 from cardweir.operators import ordering as O
 from cardweir.operators import policy as P
 from cardweir.plans.registry import query
-from cardweir.session import materialise
+from cardweir.session import materialise, passing_tables
 from cardweir.sources import tables as T
 
 A = "attempts"
@@ -364,7 +364,8 @@ def lookup_labels(spark, sf):
 FROM attempts WHERE (channel = 'web' AND outcome = 'failed') OR (NOT (channel = 'web' AND outcome = 'failed') AND amount_subunits % 10 = 3)""",
 )
 def compare_features(spark, sf):
-    expected = materialise(E.feature_vector(T.attempts(spark, sf)), "expected-features")
+    with passing_tables() as keep:
+        expected = keep(materialise(E.feature_vector(T.attempts(spark, sf)), "expected-features"))
     present = T.attempts(spark, sf).filter("not (channel = 'web' and outcome = 'failed')").select("event_id")
     actual = expected.join(present, "event_id", "left_semi").withColumn(
         "utc_hour", F.expr("if(amount_subunits % 10 = 3, utc_hour + 1, utc_hour)")
