@@ -317,7 +317,9 @@ def full_width_sql() -> str:
 @query("J1_join_labels", full_width_sql())
 def join_labels(spark, sf):
     labels = T.labels(spark, sf).select("event_id", "split", "is_attack", "campaign_id")
-    return J.join_labels(E.feature_vector(T.attempts(spark, sf)).drop("occurred_at_ms"), labels)
+    with passing_tables() as keep:  # written before they are dealt again, so that the disk holds the shuffles of one step at a time
+        vectors = keep(materialise(E.feature_vector(T.attempts(spark, sf)).drop("occurred_at_ms"), "vectors"))
+    return J.join_labels(vectors, labels)
 
 
 HALVES = """l AS (SELECT event_id FROM attempts WHERE channel <> 'web' UNION ALL SELECT event_id FROM attempts WHERE outcome = 'failed' AND channel <> 'web'),
